@@ -60,11 +60,20 @@ def piece_borders(data: np.ndarray, at: np.ndarray, bits: int = BORDER_BITS) ->
     return out
 
 
+def token_bytes(tokenizer) -> list[bytes]:
+    """The bytes of every id of a byte-level vocabulary, whose tokens spell each byte as one printable character."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spelt = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
+    names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+    return [bytes(spelt[c] for c in name) if all(c in spelt for c in name) else name.encode("utf-8") for name in names]
+
+
 class ChunkEncoder:
     """Encodes texts by shared pieces; two generations of a bounded cache."""
 
     def __init__(self, path: str, bits: int = BORDER_BITS, cache_bytes: int = CACHE_BYTES):
         self.tokenizer, self.bits, self.cache_bytes = load_tokenizer(path), bits, cache_bytes
+        self.spelling = token_bytes(self.tokenizer)
         self.young: dict[bytes, tuple[np.ndarray, bytes]] = {}
         self.old: dict[bytes, tuple[np.ndarray, bytes]] = {}
         self.held = self.encoded = 0
@@ -78,9 +87,9 @@ class ChunkEncoder:
             else:
                 pieces[piece] = hit
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in missing], add_special_tokens=False)]
-        texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        for piece, own, text in zip(missing, ids, texts, strict=True):
-            pieces[piece] = (np.array(own, dtype="<u4"), text.encode("utf-8"))
+        for piece, own in zip(missing, ids, strict=True):
+            decoded = b"".join(map(self.spelling.__getitem__, own))
+            pieces[piece] = (np.array(own, dtype="<u4"), decoded.decode("utf-8", "replace").encode("utf-8"))
             self.encoded += len(piece)
             if self.held > self.cache_bytes:
                 self.old, self.young, self.held = self.young, {}, 0
