@@ -23,6 +23,8 @@ from linkquarry.llm.common import append_columns, hash_share, held_out, slices,
 
 BUCKETS = 1 << 14
 WORDS = 4
+#: Share of trigrams that some language must know; by chance, through shared buckets, about a tenth are.
+FAMILIAR = 0.3
 _LETTER = np.full(256, 32, np.uint8)
 _LETTER[128:] = np.arange(128, 256)
 for _c in range(97, 123):
@@ -109,7 +111,7 @@ def _mixture(p: np.ndarray, m: np.ndarray, starts: np.ndarray, counts: np.ndarra
 
 
 def infer(model: LanguageModel, texts: pa.Array, penalty: float = 1.0, rounds: int = 12) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Language, its share, all shares, and whether the mixture explains the letters better than chance, for each text."""
+    """Language, its share, all shares, and whether enough trigrams are familiar to some language, for each text."""
     n, k = len(texts), len(model.languages)
     shares, reliable = np.zeros((n, k)), np.zeros(n, bool)
     letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False).astype(bool)
@@ -141,8 +143,8 @@ def infer(model: LanguageModel, texts: pa.Array, penalty: float = 1.0, rounds: i
             share[live[better]], like[live[better]] = new[better], fit_[better]
             live = live[better]
         shares[docs] = share
-        letters = np.add.reduceat(size, starts)
-        reliable[docs] = like > letters * -np.log(BUCKETS)
+        familiar = np.append(model.log_p[:BUCKETS].max(axis=1) > -np.log(BUCKETS), False)
+        reliable[docs] = np.add.reduceat(np.add.reduceat(familiar[bucket].astype(np.int64), start), starts) >= FAMILIAR * np.add.reduceat(size, starts)
     best = shares.argmax(axis=1) if k else np.zeros(n, np.int64)
     # A document whose letters are all outside the trigram alphabet falls back on the first language with share 0.
     names = [model.languages[b] if ok and k else "und" for b, ok in zip(best, letter, strict=True)]
@@ -154,8 +156,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     """docs with ``lang_pred``, ``score``, ``lang_shares`` and ``lang_reliable``.
 
     ``lang_pred`` is the language with the largest share, ties to the first by name, and ``und`` for a text that is
-    null or has no letter; ``score`` is that share (0 for ``und``). ``lang_reliable`` is false where the mixture
-    explains the letters no better than a uniform guess over trigrams, as for scripts nobody taught.
+    null or has no letter; ``score`` is that share (0 for ``und``). ``lang_reliable`` is false where less than FAMILIAR
+    of the trigrams are likelier in any language than by chance, as for scripts nobody taught.
     """
     schema = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_shares", T.ArrayType(T.DoubleType())), T.StructField("lang_reliable", T.BooleanType())])
 
