@@ -16,7 +16,7 @@ from linkquarry.llm.common import ensure_checkpoint_dir, table
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter (`und`) and those whose letters no learned language explains better than chance."""
+    """Rejects documents without a letter (`und`) and those whose letters are strange to every learned language."""
     found = language.identify(docs, language.fit(docs))
     return found.filter((F.col("lang_pred") != "und") & F.col("lang_reliable")).select(*docs.columns)
 
