@@ -67,7 +67,7 @@ def prepare(raw: DataFrame, seed: str, test_fraction: float = 0.1, normalization
 
 def summary(rows: DataFrame, records: DataFrame, unparsed: DataFrame | None = None) -> DataFrame:
     """One row of counts: input (parsed lines), accepted, unique, duplicates, rejected (unparsed lines too) and hosts."""
-    totals = rows.agg(F.count("*").alias("input"), F.count_if("key is not null").alias("accepted"), F.count_if("key is null").alias("failed"))
+    totals = rows.agg(F.count("*").alias("input"), F.count_if(F.col("key").isNotNull()).alias("accepted"), F.count_if(F.col("key").isNull()).alias("failed"))
     unique = records.agg(F.count("*").alias("unique"), F.count_distinct("hostname").alias("hosts"))
     lost = unparsed.agg(F.count("*").alias("unparsed")) if unparsed is not None else rows.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("unparsed"))
     # Each side is one row.
