@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkquarry.functions.codec import END, VOCABULARY, url_tokens
+from linkquarry.functions.codec import END, VOCABULARY
+from linkquarry.rules import CODEC_ALPHABET
 
 BUCKETS = (257, 16384, 32768, 65536)
 
 
+def symbol(url: Column, i: Column) -> Column:
+    """The codec's symbol of the i-th character, from 1; the end symbol before and behind the URL. Compiled, unlike a lambda over an array."""
+    known = {c: k for k, c in enumerate(CODEC_ALPHABET)}
+    table = F.array(*[F.lit(known.get(chr(c), END)) for c in range(128)])
+    return F.when((i < 1) | (i > F.length(url)), END).otherwise(F.element_at(table, F.ascii(F.substring(url, i, F.lit(1))) + 1))
+
+
 def token_rows(urls: DataFrame, url_col: str = "url", id_col: str = "url", most: int = 511) -> DataFrame:
-    """(id, pos, target, tokens) of URLs of at most ``most`` bytes; a byte outside the alphabet fails the job."""
-    fits = urls.filter(F.octet_length(url_col) <= most)
+    """(id, text, pos, target): a row for each symbol of URLs of at most ``most`` bytes, ``pos`` from 1, the end symbol last.
+
+    A byte outside the alphabet fails the job."""
+    url = F.col(url_col)
     # The guard is a filter: a column that nothing reads would be pruned, and the failure with it.
-    coded = fits.select(F.col(id_col).alias("id"), url_tokens(F.col(url_col)).alias("tokens")).filter(F.when(F.col("tokens").isNull(), F.raise_error(F.lit("a URL holds a byte outside the codec alphabet")).cast("boolean")).otherwise(True))
-    return coded.select("id", "tokens", F.posexplode("tokens").alias("pos", "target"))
+    sound = F.when(~url.rlike(r"^[!#-;=?-~]*\z"), F.raise_error(F.lit("a URL holds a byte outside the codec alphabet")).cast("boolean")).otherwise(True)
+    fits = urls.filter(F.octet_length(url) <= most).filter(sound).select(F.col(id_col).alias("id"), url.alias("text"))
+    return fits.select("id", "text", F.explode(F.sequence(F.lit(1), F.length("text") + 1)).alias("pos")).withColumn("target", symbol(F.col("text"), F.col("pos")))
 
 
 def excluded_count(urls: DataFrame, url_col: str = "url", most: int = 511) -> DataFrame:
@@ -27,21 +40,26 @@ def unigram_counts(tokens: DataFrame) -> DataFrame:
 
 
 def unigram_bits(train: DataFrame, test: DataFrame, smoothing: float = 0.5) -> DataFrame:
-    """(id, bits) of test URLs under train's symbol counts; the table has one row a symbol, so its size is fixed."""
-    counts = unigram_counts(token_rows(train))
-    total = counts.agg((F.sum("n") + smoothing * VOCABULARY).alias("total"))
-    symbols = test.sparkSession.range(VOCABULARY).select(F.col("id").cast("int").alias("target"))
-    table = symbols.join(counts, "target", "left").crossJoin(total).select("target", (-F.log2((F.coalesce("n", F.lit(0)) + smoothing) / F.col("total"))).alias("bits"))
-    return token_rows(test).join(F.broadcast(table), "target").groupBy("id").agg(F.sum("bits").alias("bits"))
+    """(id, bits) of test URLs under train's symbol counts, which are one number a symbol; scoring joins nothing."""
+    seen = {r["target"]: r["n"] for r in unigram_counts(token_rows(train)).collect()}
+    total = sum(seen.values()) + smoothing * VOCABULARY
+    costs = F.array(*[F.lit(-math.log2((seen.get(k, 0) + smoothing) / total)) for k in range(VOCABULARY)])
+    return token_rows(test).groupBy("id").agg(F.sum(F.element_at(costs, F.col("target") + 1)).alias("bits"))
+
 
+def with_contexts(rows: DataFrame, order: int, buckets: tuple[int, ...]) -> DataFrame:
+    """(id, target, c1 ..): hashes of the 1 to ``order`` symbols before each position, the end symbol standing before the first.
 
-def context(tokens: Column, pos: Column, order: int, buckets: int) -> Column:
-    """Hash of the ``order`` symbols before a position, the end symbol standing before the first."""
-    out = F.lit(0).cast("bigint")
-    for back in range(order, 0, -1):
-        symbol = F.when(pos >= back, F.try_element_at(tokens, (pos - back + 1).cast("int"))).otherwise(F.lit(END))
-        out = (out * VOCABULARY + symbol) % buckets
-    return out
+    The symbols are exploded as one struct, so that each is looked up once and the hashes are arithmetic on them."""
+    before = F.struct(*[symbol(F.col("text"), F.col("pos") - k).cast("bigint").alias(f"s{k}") for k in range(1, order + 1)])
+    rows = rows.select("id", "target", F.explode(F.array(before)).alias("s"))
+    hashes = []
+    for n in range(1, order + 1):
+        out = F.lit(0).cast("bigint")
+        for k in range(n, 0, -1):
+            out = (out * VOCABULARY + F.col(f"s.s{k}")) % buckets[n - 1]
+        hashes.append(out.alias(f"c{n}"))
+    return rows.select("id", "target", *hashes)
 
 
 def ngram_bits(train: DataFrame, test: DataFrame, order: int = 4, buckets: tuple[int, ...] = BUCKETS, smoothing: float = 0.5, backoff: float = 8.0) -> DataFrame:
@@ -52,10 +70,9 @@ def ngram_bits(train: DataFrame, test: DataFrame, order: int = 4, buckets: tuple
     if not 1 <= order <= len(buckets):
         raise ValueError("unsupported n-gram order")
     names = [f"c{k}" for k in range(1, order + 1)]
-    with_contexts = lambda rows: rows.select("id", "target", *[context(F.col("tokens"), F.col("pos"), k, buckets[k - 1]).alias(f"c{k}") for k in range(1, order + 1)])
-    seen = with_contexts(token_rows(train)).groupBy("target", *names).agg(F.count("*").alias("n"))
+    seen = with_contexts(token_rows(train), order, buckets).groupBy("target", *names).agg(F.count("*").alias("n"))
     unigram = seen.groupBy("target").agg(F.sum("n").alias("n0"))
-    rows = with_contexts(token_rows(test)).groupBy("id", "target", *names).agg(F.count("*").alias("times"))
+    rows = with_contexts(token_rows(test), order, buckets).groupBy("id", "target", *names).agg(F.count("*").alias("times"))
     total = unigram.agg(F.sum("n0").alias("t0"))
     rows = rows.join(F.broadcast(unigram), "target", "left").crossJoin(F.broadcast(total))
     p = (F.coalesce("n0", F.lit(0)) + smoothing) / (F.col("t0") + smoothing * VOCABULARY)

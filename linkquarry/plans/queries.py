@@ -12,6 +12,7 @@ from linkquarry.functions import codec, hashing, strings
 from linkquarry.functions.canonical import canonicalize_batch
 from linkquarry.operators import evaluate, models, prepare, rulelists, sampling, splits, staging, verify
 from linkquarry.plans.views import VIEWS, table, view
+from linkquarry.session import spread
 from linkquarry.sources import adversarial, corpus, index_table
 
 SEED = "sample-seed"
@@ -278,7 +279,7 @@ def percent_normalize(spark, sf_dir):
 
 
 def _canonical(spark, sf_dir, preset):
-    return canonicalize_batch(view(spark, sf_dir, "url_candidates").select("ordinal", "url"), "url", preset)
+    return canonicalize_batch(spread(view(spark, sf_dir, "url_candidates").select("ordinal", "url")), "url", preset)
 
 
 @query()
@@ -479,7 +480,7 @@ rows AS (SELECT url, train, w, unnest(range(0, len(w))) AS pos FROM tokens)"""
 
 
 def _halves(spark, sf_dir):
-    urls = view(spark, sf_dir, "event_urls")
+    urls = spread(view(spark, sf_dir, "event_urls"))
     return urls.filter("ordinal % 4 <> 0"), urls.filter("ordinal % 4 = 0")
 
 
@@ -531,7 +532,7 @@ def fragment_frame(spark, sf_dir):
 @query()
 def fragment_roundtrip(spark, sf_dir):
     links = codec.FragmentCodec({1: codec.IdentityCodec()}, 1, codec.V1_LIMITS)
-    return evaluate.benchmark(view(spark, sf_dir, "event_urls"), links).select("ordinal", "status", "reason", "rendered_characters")
+    return evaluate.benchmark(spread(view(spark, sf_dir, "event_urls")), links).select("ordinal", "status", "reason", "rendered_characters")
 
 
 @query("SELECT ordinal, CAST(ceil(strlen(url) * 8 / log2(84::DOUBLE)) AS BIGINT) AS c84, CAST(ceil(strlen(url) * 8 / log2(43::DOUBLE)) AS BIGINT) AS c43 FROM event_urls", "event_urls")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "linkquarry", **conf: str) -> SparkSession:
@@ -20,3 +20,13 @@ def session(name: str = "linkquarry", **conf: str) -> SparkSession:
         "spark.sql.files.maxPartitionBytes": "128m",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return SparkSession.builder.appName(name).config(map=settings).getOrCreate()
+
+
+def spread(df: DataFrame, small_bytes: int = 64 << 20) -> DataFrame:
+    """df dealt to all cores, if it is small (``small_bytes`` a core) and lies in fewer files than there are cores; else as it is.
+
+    A small file is often one row group, which one task would read and work on alone. Larger inputs have enough row
+    groups, and are never shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < small_bytes * cores and len(df.inputFiles()) < cores else df
