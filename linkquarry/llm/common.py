@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linkquarry.session import spread  # noqa: F401  (the operators' queries take it from here)
+
 #: Bytes of text that a Python worker holds decoded at a time; small slices also stay in the processor's caches.
 SLICE_BYTES = 512 << 10
 
@@ -69,12 +71,20 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB instead of the 64 MB of Spark's default, which JVM and worker would each hold; a session's own choice stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("67108864b", "64m", "67108864"):
+        spark.conf.set(key, str(8 << 20))
+
+
 def append_columns(df: DataFrame, text_col: str, schema: T.StructType, make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
     """df with the columns of ``schema``, which ``make()(texts)`` computes in an Arrow-batched pass without a shuffle.
 
     ``make`` runs once in each task (models and tokenizers are loaded there). Columns of df with a name of
     ``schema`` give way. The text column must be a string column; it is read whole, in slices of bounded bytes.
     """
+    bound_batches(df.sparkSession)
     new = {f.name.lower() for f in schema}
     kept = [i for i, f in enumerate(df.schema) if f.name.lower() not in new]
     text_index = [f.name.lower() for f in df.schema].index(text_col.lower())

@@ -6,35 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkquarry.llm import ann, bpe, decontaminate, language, licenses, quality, secrets, sharding, simhash, tokens
-from linkquarry.llm.common import held_out, table
+from linkquarry.llm.common import held_out, spread, table
+
+
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select(*columns))
 
 
 def op1_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score_quality(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     model = language.fit(docs)
     return language.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "lang_reliable")
 
 
 def op3_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return secrets.scan(documents(spark, sf_dir, "doc_id", "text")).drop("text")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return tokens.count_tokens(documents(spark, sf_dir, "doc_id", "text")).drop("text")
 
 
 def op5_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.licences(table(spark, sf_dir, "documents"))
+    return licenses.licences(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +46,7 @@ def op7_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
 def op9_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +55,7 @@ def op9_adaptive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return bpe.encode_decode(documents(spark, sf_dir, "doc_id", "text")).drop("text")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
