@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkquarry.llm import bpe, decontaminate, language, secrets, simhash
-from linkquarry.llm.common import ensure_checkpoint_dir, table
+from linkquarry.llm.common import ensure_checkpoint_dir, spread, table
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,19 @@ STAGES = [("language_id", keep_languages), ("near_dedup", drop_near_copies), ("d
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; what each one keeps is a table in the shared checkpoint folder."""
-    folder, docs = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}", table(spark, sf_dir, "documents")
+    """The stages over documents; what each one keeps is a table in the shared checkpoint folder, until the next has read it."""
+    folder, docs, before = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}", spread(table(spark, sf_dir, "documents")), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(f"{folder}/{k}_{name}")
+        path = f"{folder}/{k}_{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            _remove(spark, before)
+        before = path
     return docs
