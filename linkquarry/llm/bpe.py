@@ -15,6 +15,7 @@ shuffle chunks and their ids would move more than the text itself.
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +90,9 @@ class ChunkEncoder:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in missing], add_special_tokens=False)]
         for piece, own in zip(missing, ids, strict=True):
             decoded = b"".join(map(self.spelling.__getitem__, own))
-            pieces[piece] = (np.array(own, dtype="<u4"), decoded.decode("utf-8", "replace").encode("utf-8"))
+            if decoded != piece:  # bytes that are no UTF-8 decode as the library has it
+                decoded = decoded.decode("utf-8", "replace").encode("utf-8")
+            pieces[piece] = (np.frombuffer(array("I", own), dtype="<u4"), decoded)
             self.encoded += len(piece)
             if self.held > self.cache_bytes:
                 self.old, self.young, self.held = self.young, {}, 0
