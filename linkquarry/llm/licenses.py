@@ -2,13 +2,14 @@
 
 Only DataFrame functions are used. A document's segments are its lines and its paragraphs (blocks between blank
 lines). A segment with b bigrams can reach a coefficient t with a template of b' bigrams only if b lies between
-b' t / (2 - t) and b' (2 - t) / t; counts with repeats hold to this bound, by definition of the operator, before any
-bigram is built, and so most segments are never compared. All of it happens row by row: the templates are literals of a fixed size, and only
-matches are shuffled, to be reported once for each document.
+b' t / (2 - t) and b' (2 - t) / t. Bigrams that repeat count as often as they stand there, so b is the number of words less
+one: the bound is exact and known before any bigram is built, and most segments are never compared. All of it happens
+row by row: the templates are literals of a fixed size, and only matches are shuffled, to be reported once for each document.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -46,12 +47,14 @@ def normalised_words(text: str) -> list[str]:
 
 
 def _bigram_list(words: list[str]) -> list[str]:
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+    """The bigrams, sorted; a repeat is marked by the number of equal ones before it, so common entries of two lists count as those of bags."""
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    return sorted(x if (k := pairs[:i].count(x)) == 0 else f"{x}#{k}" for i, x in enumerate(pairs))
 
 
 def _size_bounds(dice: float, bigrams: int) -> tuple[int, int]:
-    """Least and most bigrams (with repeats) of a segment that is compared with a template of ``bigrams`` bigrams."""
-    return int(-(-bigrams * dice // (2 - dice))), int(bigrams * (2 - dice) // dice)
+    """Least and most bigrams, with repeats, of a segment that can reach ``dice`` with a template of ``bigrams`` bigrams."""
+    return math.ceil(bigrams * dice / (2 - dice) - 1e-9), math.floor(bigrams * (2 - dice) / dice + 1e-9)
 
 
 def licences(docs: DataFrame, dice: float = DICE, templates: dict[str, str] | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -79,11 +82,17 @@ def licences(docs: DataFrame, dice: float = DICE, templates: dict[str, str] | No
 
     def bigrams(segment: Column) -> Column:
         words = F.split(segment, " ")
-        return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+        return F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+
+    def marked(pairs: Column) -> Column:
+        """Repeats told apart, as in ``_bigram_list``."""
+        nth = lambda x, i: F.size(F.filter(F.slice(pairs, F.lit(1), i), lambda y: y == x))
+        each = F.transform(pairs, lambda x, i: F.when(F.array_position(pairs, x) == i + 1, x).otherwise(F.concat(x, F.lit("#"), nth(x, i).cast("string"))))
+        return F.when(F.size(F.array_distinct(pairs)) == F.size(pairs), pairs).otherwise(each)
 
     # The explode keeps the bigrams of a segment as a value; inside the comparison they'd be built for each template.
-    found = found.select("doc_id", count(F.col("segment")).alias("n"), F.explode(F.array(bigrams(F.col("segment")))).alias("own"))
-    found = found.filter(F.arrays_overlap("own", F.array(*map(F.lit, every))))
+    found = found.select("doc_id", F.explode(F.array(bigrams(F.col("segment")))).alias("pairs")).filter(F.arrays_overlap("pairs", F.array(*map(F.lit, every))))
+    found = found.select("doc_id", F.size("pairs").alias("n"), F.explode(F.array(marked(F.col("pairs")))).alias("own"))
     literal = F.array(*[F.struct(F.lit(k).alias("licence"), F.lit(sizes[k][0]).alias("low"), F.lit(sizes[k][1]).alias("high"), F.array(*map(F.lit, _bigram_list(v))).alias("bigrams")) for k, v in known.items()])
     scored = F.transform(F.filter(literal, lambda t: (F.col("n") >= t["low"]) & (F.col("n") <= t["high"])), lambda t: F.struct((F.lit(-2.0) * F.size(F.array_intersect(F.col("own"), t["bigrams"])) / (F.size("own") + F.size(t["bigrams"]))).alias("less"), t["licence"].alias("licence")))
     hits = found.select("doc_id", F.array_min(scored).alias("hit")).filter(-F.col("hit.less") >= dice)
@@ -93,10 +102,9 @@ def licences(docs: DataFrame, dice: float = DICE, templates: dict[str, str] | No
 def licences_sql(dice: float = DICE, templates: dict[str, str] | None = None) -> str:
     """The same in DuckDB SQL over ``documents``."""
     known = {k: normalised_words(v) for k, v in (templates or TEMPLATES).items()}
-    rows = []
-    for k, v in known.items():
-        low, high = _size_bounds(dice, len(v) - 1)
-        rows.append(f"('{k}', {low}, {high}, [{', '.join(repr(b) for b in _bigram_list(v))}])")
+    sizes = {k: _size_bounds(dice, len(v) - 1) for k, v in known.items()}
+    low, high = min(a for a, _ in sizes.values()), max(b for _, b in sizes.values())
+    rows = [f"('{k}', {sizes[k][0]}, {sizes[k][1]}, [{', '.join(repr(b) for b in _bigram_list(v))}])" for k, v in known.items()]
     return f"""
 WITH templates(licence, low, high, bigrams) AS (VALUES {', '.join(rows)}),
 texts AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9\\n]+', ' ', 'g') AS t FROM documents),
@@ -106,7 +114,13 @@ segments AS (
   SELECT doc_id, trim(regexp_replace(p, '[ \\n]+', ' ', 'g')) FROM (SELECT doc_id, unnest(regexp_split_to_array(t, '\\n ?\\n')) AS p FROM texts) WHERE contains(p, chr(10))
 ),
 words AS (SELECT doc_id, string_split(segment, ' ') AS w FROM segments WHERE segment <> ''),
-own AS (SELECT row_number() OVER () AS segment_id, doc_id, len(w) - 1 AS n, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS own FROM words WHERE len(w) >= 2),
+pairs AS (
+  SELECT row_number() OVER () AS segment_id, doc_id, len(w) - 1 AS n, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] AS p
+  FROM words WHERE len(w) - 1 BETWEEN {max(1, low)} AND {high}
+),
+single AS (SELECT segment_id, doc_id, n, unnest(p) AS b, generate_subscripts(p, 1) AS i FROM pairs),
+numbered AS (SELECT segment_id, doc_id, n, b, row_number() OVER (PARTITION BY segment_id, b ORDER BY i) - 1 AS k FROM single),
+own AS (SELECT segment_id, doc_id, n, list(CASE WHEN k = 0 THEN b ELSE b || '#' || k END) AS own FROM numbered GROUP BY ALL),
 best AS (
   SELECT doc_id, licence, 2.0::DOUBLE * len(list_intersect(own, bigrams)) / (len(own) + len(bigrams)) AS dice
   FROM own JOIN templates ON n BETWEEN low AND high

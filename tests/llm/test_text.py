@@ -120,6 +120,39 @@ def test_sql_oracles(spark, sf, name):
     assert len(want) > 10
 
 
+def brute_licences(text):
+    from collections import Counter
+
+    bags = {k: Counter(zip(w, w[1:], strict=False)) for k, w in ((k, licenses.normalised_words(v)) for k, v in licenses.TEMPLATES.items())}
+    plain = re.sub(r"[^a-z0-9\n]+", " ", text.lower())
+    best: dict = {}
+    for segment in plain.split("\n") + [p for p in re.split("\n ?\n", plain) if "\n" in p]:
+        own = Counter(zip(segment.split(), segment.split()[1:], strict=False))
+        dice, licence = min((-2 * (own & bag).total() / (own.total() + bag.total()), k) for k, bag in bags.items())
+        if -dice >= licenses.DICE:
+            best.setdefault(licence, []).append(-dice)
+    return {(k, round(max(v), 6), len(v)) for k, v in best.items()}
+
+
+def test_licences_count_repeated_bigrams(spark):
+    rng, known = random.Random(3), list(licenses.TEMPLATES.values())
+    texts = ["All rights reserved. " * n for n in range(1, 4)] + ["rights reserved all rights reserved"]
+    for _ in range(150):
+        w = rng.choice(known).split()
+        for _ in range(rng.randint(0, max(1, len(w) // 6))):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 2)] = rng.choice([[], ["other"], w[: rng.randint(1, 4)], [w[at]] * 2])
+        cut = rng.randrange(len(w) + 1)
+        texts.append("Intro line\n\n" + " ".join(w[:cut]) + rng.choice(["\n", " ", "\n\n"]) + " ".join(w[cut:]) + "\nall rights reserved")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.licence, r.dice, r.n_segments) for r in licenses.licences(docs).collect()}
+    assert got == {(d, *x) for d, t in enumerate(texts) for x in brute_licences(t)} and len(got) > 100
+    con = duckdb.connect()
+    frame = docs.toPandas()
+    con.register("documents", frame)
+    assert set(con.execute(licenses.licences_sql()).fetchall()) == got
+
+
 def test_licence_odd_rows(odd, none):
     got = licenses.licences(odd).toPandas()
     assert got[["doc_id", "licence", "dice", "n_segments"]].values.tolist() == [[10, "Apache-2.0", 1.0, 1]]
