@@ -1,7 +1,7 @@
 """The corpus pipeline: language, near copies, benchmark leaks, secrets, BPE; each stage one operator, written and reread.
 
-Each stage works on the whole of what its predecessor kept. Rows whose columns are null are handled as the operators
-say; a row without a doc_id can't stand for a group of near copies and stays as it is.
+Each stage works on the whole of what its predecessor kept. Rows whose columns are null, and ids that repeat, are
+handled as the operators say.
 """
 
 from __future__ import annotations
@@ -22,11 +22,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each SimHash group."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    """Keeps the document with the smallest id of each SimHash group; one without an id only where its group has no other."""
+    return simhash.one_of_each_group(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

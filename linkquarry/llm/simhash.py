@@ -11,6 +11,7 @@ joined by alternating star contractions on the shared store, never on the driver
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -228,17 +229,43 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """One row for each document: id, ``fp`` (signed), ``fingerprint`` (16 hexadecimal digits) and ``component_id``.
+    """One row for each document: id, ``text_hash``, ``fp`` (signed), ``fingerprint`` (16 hexadecimal digits), ``component_id`` and ``root``.
 
     ``component_id`` is the smallest id reachable over links, the document's own included; null only where a whole
-    component has null ids. Texts without words all have fingerprint zero and are one class. Repeated rows, and rows
-    with one id and different texts, each keep their own row.
+    component has null ids. ``root`` is the component's smallest signed fingerprint, which names it even where ids
+    repeat or are null. Texts without words all have fingerprint zero and are one class. Repeated rows, and rows
+    with one id and different texts, each keep their own row; ``text_hash`` tells the latter apart (``text_key``).
     """
-    prints = durable(with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", words).select("doc_id", "fp"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    prints = durable(with_fingerprint(own.withColumn("text_hash", text_key("text")), "text", words).select("doc_id", "text_hash", "fp"))
     classes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(classes, radius, shard))
     joined = classes.join(roots, classes.fp == roots.node).select("fp", "root", "first")
     named = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    grouped = joined.select("fp", "root").join(named, "root").select("fp", "component_id")
-    whole = classes.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(durable(whole), "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    grouped = joined.select("fp", "root").join(named, "root").select("fp", "root", "component_id")
+    whole = classes.join(grouped, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    return prints.join(durable(whole), "fp").select("doc_id", "text_hash", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root")
+
+
+def text_key(text_col: str) -> F.Column:
+    """64 bits of a text; null and empty are one."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def one_of_each_group(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
+    """docs with one row of each group of near duplicates: that with the smallest id, a null id only where no row has another.
+
+    Of several texts with that id in one group the one with the smallest ``text_key`` stays, and of rows equal in both
+    any single one. The columns are those of docs.
+    """
+    groups = near_duplicates(docs, text_col, id_col, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = groups.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
+    key = [f"{k}__{uuid.uuid4().hex}" for k in ("null", "id", "text")]
+
+    def keyed(df: DataFrame, own_id: str, text: F.Column) -> list[F.Column]:
+        kind = df.schema[own_id].dataType
+        zero = F.lit("" if isinstance(kind, T.StringType) else 0).cast(kind)
+        return [F.col(own_id).isNull().alias(key[0]), F.coalesce(F.col(own_id), zero).alias(key[1]), text.alias(key[2])]
+
+    chosen = kept.select(*keyed(kept, "doc_id", F.col("text_hash"))).distinct()
+    return docs.select("*", *keyed(docs, id_col, text_key(text_col))).join(chosen, key, "left_semi").dropDuplicates(key).select(*docs.columns)

@@ -90,6 +90,17 @@ def test_group_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    texts = ["alpha beta gamma delta", "one two three four five", "quite another set of words"]
+    rows = [(5, texts[0], 1), (3, texts[0], 2), (3, texts[0], 2), (5, texts[1], 3), (None, texts[1], 4), (None, texts[2], 5), (None, texts[2], 5), (3, None, 6), (7, "", 7), (3, texts[1] + "!", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, Root long").repartition(3)
+    got = simhash.one_of_each_group(docs)
+    assert got.columns == docs.columns
+    # An id that repeats stands for each of its groups, and a null id only for a group that has no other.
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(3, texts[0]), (5, texts[1]), (0, texts[2]), (3, ""), (3, texts[1] + "!")])
+    assert simhash.one_of_each_group(docs.filter("doc_id > 9")).count() == 0
+
+
 def test_jump_moves_rows_only_into_the_new_shard():
     keys = np.random.default_rng(2).integers(0, 1 << 60, 20_000).astype(np.uint64)
     for n in (1, 2, 7, 16, 100):
