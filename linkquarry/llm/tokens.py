@@ -10,6 +10,7 @@ the whole chunk, which then joins its neighbour.
 
 from __future__ import annotations
 
+import functools
 import os
 
 import pyarrow as pa
@@ -23,8 +24,9 @@ CHUNK = 16_384
 OVERLAP = 256
 
 
+@functools.lru_cache(maxsize=2)
 def load_tokenizer(path: str):
-    """A tokenizer as its file describes it, one thread, without truncation or padding."""
+    """A tokenizer as its file describes it, one thread, without truncation or padding; read once in a process, not in each task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -49,35 +51,34 @@ def count_spliced(tokenizer, text: str, chunk: int = CHUNK, overlap: int = OVERL
     """Tokens of a long text, from overlapping chunks."""
     chunk = max(1, chunk)
 
-    def offsets(start: int, end: int) -> tuple[list[int], int]:
-        e = tokenizer.encode(text[start:end], add_special_tokens=False)
-        return [start + a for a, _ in e.offsets], len(e)
+    def encode(start: int, end: int):
+        return tokenizer.encode(text[start:end], add_special_tokens=False)
 
+    def token_at(encoding, p: int) -> int | None:
+        """The token that begins at a character; asking for single places leaves the offsets of all others inside the library."""
+        token = encoding.char_to_token(p)
+        return token if token is not None and encoding.token_to_chars(token)[0] == p else None
+
+    # The current chunk: its encoding, the place where that begins, and its tokens in front of the last splice.
     total, start, end = 0, 0, min(chunk, len(text))
-    begins, count = offsets(start, end)
+    left, origin, before = encode(start, end), start, 0
     while end < len(text):
         joined = False
         width = max(1, overlap)
         while not joined and width <= end - start:
             low, high = end - width, min(len(text), end + chunk)
-            right, right_count = offsets(low, high)
-            at = {}
-            for i, p in enumerate(right):
-                at.setdefault(p, i)
-            left = {}
-            for i, p in enumerate(begins):
-                left.setdefault(p, i)
+            right = encode(low, high)
             for p in range(end - 1, max(low, start), -1):
-                if stable(text, p) and p in at and p in left:
-                    total += left[p]
-                    begins, count = right[at[p] :], right_count - at[p]
+                if stable(text, p) and (i := token_at(left, p - origin)) is not None and (j := token_at(right, p - low)) is not None:
+                    total += i - before
+                    left, origin, before = right, low, j
                     start, end, joined = p, high, True
                     break
             width *= 2
         if not joined:  # no boundary in the whole chunk: it grows by the next one
             end = min(len(text), end + max(chunk, end - start))
-            begins, count = offsets(start, end)
-    return total + count
+            left, origin, before = encode(start, end), start, 0
+    return total + len(left) - before
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
