@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkquarry.llm import bpe, decontaminate, language, secrets, simhash
+from linkquarry.llm import bpe, decontaminate, language, nearcopies, secrets, simhash
 from linkquarry.llm.common import ensure_checkpoint_dir, spread, table
 
 
@@ -22,8 +22,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each SimHash group; one without an id only where its group has no other."""
-    return simhash.one_of_each_group(docs)
+    """Keeps the document with the smallest id of each group of near copies (five words, Jaccard 0.8 or more, verified); one without an id only where its group has no other."""
+    return simhash.one_of_each_group(docs, groups=nearcopies.near_copies)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,24 +32,33 @@ SAMPLE = 100_000
 LEAF = 256
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The 64-bit SimHash of a whole text: a bit is set where over half of the shingles' hashes have it."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """64-bit hashes of the shingles of a whole text, repeats included; of fewer words that of the whole sequence."""
     tokens = (text or "").encode("utf-8").lower().split()  # on bytes: A-Z only, and exactly the six ASCII spaces
     if not tokens:
-        return 0
-    if len(tokens) < words:
-        return xxh64_intdigest(b" ".join(tokens), 42)
+        return np.zeros(0, np.uint64)
     line = b" ".join(tokens)
+    if len(tokens) < words:
+        return np.array([xxh64_intdigest(line, 42)], dtype="<u8")
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     view = memoryview(line)
-    hashes = np.array([xxh64_intdigest(view[a:b], 42) for a, b in zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], dtype="<u8")
+    return np.array([xxh64_intdigest(view[a:b], 42) for a, b in zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set where over half of the hashes have it."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 255):  # a block's counts fit in bytes
         ones += np.add.reduce(np.unpackbits(hashes[k : k + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """The 64-bit SimHash of a whole text: a bit is set where over half of the shingles' hashes have it."""
+    return majority(shingle_hashes(text, words))
+
+
 def with_fingerprint(docs: DataFrame, text_col: str = "text", words: int = WORDS, name: str = "fp") -> DataFrame:
     """docs with the fingerprint as a signed 64-bit column; a null text counts as empty (fingerprint zero)."""
 
@@ -252,14 +261,14 @@ def text_key(text_col: str) -> F.Column:
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def one_of_each_group(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
-    """docs with one row of each group of near duplicates: that with the smallest id, a null id only where no row has another.
+def one_of_each_group(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", groups=near_duplicates, **how) -> DataFrame:
+    """docs with one row of each group of near duplicates, as ``groups`` finds them: that with the smallest id, a null id only where no row has another.
 
     Of several texts with that id in one group the one with the smallest ``text_key`` stays, and of rows equal in both
     any single one. The columns are those of docs.
     """
-    groups = near_duplicates(docs, text_col, id_col, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = groups.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
+    found = groups(docs, text_col, id_col, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
     key = [f"{k}__{uuid.uuid4().hex}" for k in ("null", "id", "text")]
 
     def keyed(df: DataFrame, own_id: str, text: F.Column) -> list[F.Column]:
