@@ -467,7 +467,7 @@ FROM (SELECT *, ordinal % 9 AS page_kind FROM codec_results) t WHERE page_kind I
     "codec_results",
 )
 def classify_difference(spark, sf_dir):
-    rows = view(spark, sf_dir, "codec_results").filter("ordinal % 9 in (0, 1, 4, 5, 6, 8)")
+    rows = view(spark, sf_dir, "codec_results")
     return rows.select("ordinal", strings.classify_difference(F.col("expected"), F.col("actual")).alias("label"))
 
 
