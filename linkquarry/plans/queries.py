@@ -16,6 +16,7 @@ from linkquarry.session import spread
 from linkquarry.sources import adversarial, corpus, index_table
 
 SEED = "sample-seed"
+PACK_BYTES = 16 << 20
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -562,11 +563,13 @@ def byte_size_parse(spark, sf_dir):
 
 @query(f"WITH {_CANDIDATES} SELECT url, CAST(coalesce(sum(strlen(url)) OVER (ORDER BY url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_byte FROM candidates WHERE hostname LIKE '%.example.com'", "web_urls")
 def pack_offsets(spark, sf_dir):
-    """Start byte of every record of one pack, read back from its offsets."""
-    rows = _candidates(spark, sf_dir).filter("hostname like '%.example.com'").withColumn("split", F.lit(0))
-    records = corpus.unpack(corpus.pack_shards(rows, 1 << 30))
+    """Start byte of every record in the packs in their order, read back from their offsets."""
+    rows = _candidates(spark, sf_dir).withColumn("split", F.lit(0))
+    packs = corpus.pack_shards(rows, PACK_BYTES)  # one range: each shard is bounded, and the cut is the same when read again
+    base = packs.select("shard", (F.sum("url_bytes").over(Window.orderBy("shard")) - F.col("url_bytes")).alias("base"))
+    records = corpus.unpack(packs).join(base, "shard")
     w = Window.partitionBy("shard").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    return records.select("url", F.coalesce(F.sum(F.octet_length("url")).over(w), F.lit(0)).cast("bigint").alias("start_byte"))
+    return records.select("url", (F.col("base") + F.coalesce(F.sum(F.octet_length("url")).over(w), F.lit(0))).cast("bigint").alias("start_byte"))
 
 
 @query(f"WITH {_CANDIDATES}, {_five_way('candidates')} SELECT url, CAST(split AS INTEGER) AS split FROM five", "web_urls")
