@@ -3,8 +3,8 @@
 Base patterns give the certain spans: assignments, access identifiers and long hexadecimal strings. Weak parts
 (account identifiers, endpoints, random-looking words) are common in clean text, so each is reported only when
 complementary parts stand within ``REACH`` code points of it and inside the same scope (a block between blank
-lines). The link is an interval join: the parts of a document sorted by start, joined by binary search, so a
-document with many parts costs n log n and no pair list is built. A document is scanned in one Arrow-batched
+lines). The link is an interval join: the parts of a document sorted by start, with the greatest end so far, joined by
+binary search, so a document with many parts costs n log n and no pair list is built. A document is scanned in one Arrow-batched
 pass, without a shuffle.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -82,16 +83,17 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
         return []
     cuts = [m.start() for m in _BLANK.finditer(text)]
     by = {k: [(s, e) for kind, s, e in base if kind == k] for k in ("assign", "access", "hex")} | weak
-    role = {"secret": sorted(by["assign"] + by["hex"] + by["weak"]), "ident": sorted(by["access"] + by["account"]), "endpoint": sorted(by["endpoint"])}
+    role = {"secret": sorted({*by["assign"], *by["hex"], *by["weak"]}), "ident": sorted({*by["access"], *by["account"]})}
     first = {r: [s for s, _ in v] for r, v in role.items()}
+    last = {r: list(accumulate((e for _, e in v), max)) for r, v in role.items()}
 
     def near(span: tuple[int, int], r: str) -> bool:
         s, e = span
         block = bisect_right(cuts, s)
-        low = max(s - reach, cuts[block - 1] if block else 0)
         high = min(e + reach, cuts[block] if block < len(cuts) else len(text))
-        i, j = bisect_left(first[r], low), bisect_right(first[r], high)
-        return any(role[r][k] != span for k in range(i, min(j, i + 2)))
+        i, m, j = bisect_left(first[r], cuts[block - 1] if block else 0), bisect_left(first[r], s), bisect_right(first[r], high)
+        # No part crosses a blank line, so parts of earlier blocks end before any of this one.
+        return (i < m and last[r][m - 1] >= s - reach) or any(role[r][k] != span for k in range(m, min(j, m + 2)))
 
     found = [("weak", *x) for x in weak["weak"] if near(x, "ident")]
     found += [("account", *x) for x in weak["account"] if near(x, "secret")]
