@@ -16,8 +16,14 @@ from linkquarry.llm.common import ensure_checkpoint_dir, spread, table
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter (`und`) and those whose letters are strange to every learned language."""
-    found = language.identify(docs, language.fit(docs))
+    """Rejects documents without a letter (`und`) and those whose letters are strange to every learned language.
+
+    Where no document teaches a language nothing can be strange, and only those without a letter go.
+    """
+    model = language.fit(docs)
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = language.identify(docs, model)
     return found.filter((F.col("lang_pred") != "und") & F.col("lang_reliable")).select(*docs.columns)
 
 
