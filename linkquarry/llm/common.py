@@ -48,6 +48,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers up to which a join sends them to every task.
+FEW = 1 << 18
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, marked to be broadcast if its count is no more than ``FEW``; for narrow rows alone. It is evaluated twice."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def slices(batch: pa.RecordBatch, text_index: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive pieces of a batch whose texts have about ``most`` bytes at most (a longer text is a piece alone)."""
     if batch.num_rows == 0:

@@ -1,19 +1,26 @@
 """Near copies by exact Jaccard similarity of word shingles: SimHash links first, then a prefix filter that loses no pair.
 
 SimHash trees bring most tight groups together cheaply, but a similarity of 0.8 may differ in more bits than trees can
-search, so they are not enough. A second search completes them: shingles have one global order, those common in a bounded
-sample last, and two sets of similarity t or more share one of their first n - ceil(t n) + 1 shingles. Pairs that meet there
-and are not joined yet pass two bounds (sizes, and the differing parity bits, which are never more than the differing
-shingles). Every link of either search is verified on the shingles themselves before it counts. The sample only decides
-how many candidates there are, never which pairs are found.
+search, so they are not enough. A second search completes them: shingles have one global order, those common in a
+sample last, and two sets of similarity t or more share one of their first n - ceil(t n) + 1 shingles. The sample and what
+is taken as common decide how many candidates there are, never which pairs are found.
 
-Shingles are told apart by 64-bit hashes, and equal sets of shingles are one class. Texts without a word are one class too.
+The classes that share a shingle of their prefixes are a meeting. Meetings are counted before they are formed: a signature
+(members, least, greatest and exclusive or of their hashes) lets one meeting stand for all with the same members, a meeting
+whose classes are joined already is never formed, and a large one is dealt as pairs of blocks. In a meeting only pairs
+pass that are not joined yet and hold two bounds: sizes, and differing parity bits, which are never more than the
+differing shingles. Rounds first offer each class its nearest partner alone, so a large group of near copies is joined
+by about as many links as it has members; what then is still open is verified pair by pair.
+
+Every link of either search is verified on the texts themselves: a pair's greater class travels to the lesser one, a hub,
+whose text is sent once for every ``FAN`` partners. Shingles are told apart by 64-bit hashes, and equal sets of
+shingles are one class. Texts without a word are one class too.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +30,21 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from linkquarry.llm import simhash
-from linkquarry.llm.common import append_columns, durable, hash_share
+from linkquarry.llm.common import append_columns, bound_batches, durable, few, hash_share
 
 WORDS = 5
 JACCARD = 0.8
-#: Documents that tell which shingles are common, and how many of those are told to every task.
+#: Documents that tell which shingles are common: this many at least, and this share of a large table.
 SAMPLE = 20_000
+SHARE = 0.01
+#: Common shingles that are told to every task.
 COMMON = 1 << 17
-#: Keys up to which a join of them is sent to every task.
-FEW = 1 << 18
-_PARITY = 4  # words of 64 bits
+#: Members of a meeting that are compared in one task.
+BLOCK = 2048
+#: Partners that a hub's text is sent for at once.
+FAN = 256
+#: Rounds of nearest partners, at most, before all that is open is verified.
+ROUNDS = 5
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -40,21 +52,31 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(simhash.shingle_hashes(text, words))
 
 
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of 2^k places, at least one place a shingle, as 64-bit words."""
+    places = max(64, 1 << (len(shingles) - 1).bit_length())
+    bits = np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def folded(parity: np.ndarray, words: int) -> np.ndarray:
+    """Rows of parity words on fewer places: those of s mod 2^k follow from those of s mod 2^(k + 1)."""
+    while parity.shape[1] > words:
+        half = parity.shape[1] // 2
+        parity = parity[:, :half] ^ parity[:, half:]
+    return parity
+
+
 def _lists(sets: list[np.ndarray]) -> pa.Array:
     values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _with_sets(docs: DataFrame, words: int) -> DataFrame:
-    """docs with ``shingles`` for its column ``text``."""
-    return append_columns(docs, "text", T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))]), lambda: lambda texts: [_lists([shingle_set(t, words) for t in texts.to_pylist()])])
-
-
-def common_shingles(docs: DataFrame, words: int = WORDS, sample: int = SAMPLE, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, of shingles that several documents of a sample have, and in how many."""
-    share = min(1.0, sample / max(1, docs.count()))
-    drawn = docs.filter(hash_share("text_hash", F.lit("common")) < share).select("text").distinct()
-    found = _with_sets(drawn, words).select(F.explode("shingles").alias("s")).groupBy("s").count().filter("count > 1").orderBy(F.desc("count"), "s").limit(most).toPandas()
+def common_shingles(docs: DataFrame, words: int = WORDS, sample: int = SAMPLE, share: float = SHARE, most: int = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of the shingles that most documents of a sample have, several at least, and in how many."""
+    drawn = docs.filter(hash_share("text_hash", F.lit("common")) < min(1.0, max(share, sample / max(1, docs.count())))).select("text").distinct()
+    sets = append_columns(drawn, "text", T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))]), lambda: lambda texts: [_lists([shingle_set(t, words) for t in texts.to_pylist()])])
+    found = sets.select(F.explode("shingles").alias("s")).groupBy("s").count().filter("count > 1").orderBy(F.desc("count"), "s").limit(most).toPandas()
     hashes = found["s"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], found["count"].to_numpy(np.int64)[order]
@@ -64,40 +86,26 @@ def _described(own: DataFrame, words: int, jaccard: float, common: tuple[np.ndar
     """doc_id, text_hash, class, SimHash, number of shingles, their parity bits and the class's prefix."""
     hashes, counts = common
 
+    def describe(text: str | None) -> tuple[int, int, int, bytes, np.ndarray]:
+        every = simhash.shingle_hashes(text, words)
+        own = np.unique(every)
+        if not len(own):
+            return 0, 0, 0, b"", own
+        rank = np.zeros(len(own), np.int64)
+        if len(hashes):
+            at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+            rank = np.where(hashes[at] == own, counts[at], 0)
+        first = own[np.lexsort((own, rank))][: len(own) - math.ceil(jaccard * len(own) - 1e-9) + 1]
+        return xxh64_intdigest(own.tobytes(), 43), simhash.majority(every), len(own), parity_bits(own).tobytes(), first
+
     def compute(texts: pa.Array) -> list:
         known: dict = {}
-        cls, fp, n, parity, prefix = [], [], [], [], []
-        for text in texts.to_pylist():
-            if (got := known.get(text)) is None:
-                every = simhash.shingle_hashes(text, words)
-                own = np.unique(every)
-                rank = np.zeros(len(own), np.int64)
-                if len(hashes) and len(own):
-                    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-                    rank = np.where(hashes[at] == own, counts[at], 0)
-                first = own[np.lexsort((own, rank))][: len(own) - math.ceil(jaccard * len(own) - 1e-9) + 1]
-                bits = np.bincount((own % np.uint64(64 * _PARITY)).astype(np.int64), minlength=64 * _PARITY) % 2
-                name = xxh64_intdigest(own.tobytes(), 43) if len(own) else 0
-                got = known[text] = (name, simhash.majority(every), len(own), np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64), first)
-            for column, value in zip((cls, fp, n, parity, prefix), got, strict=True):
-                column.append(value)
-        return [pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(np.array(n, np.int64)), _lists(parity), _lists(prefix)]
-
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("parity", longs), T.StructField("prefix", longs)])
-    return append_columns(own, "text", schema, lambda: compute).drop("text")
-
-
-def _verified(pairs: DataFrame, own: DataFrame, prints: DataFrame, words: int, jaccard: float) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose shingles are as similar as asked."""
-    pairs = durable(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    keys = durable(prints.join(needed, "cls").groupBy("cls").agg(F.min("text_hash").alias("text_hash")))
-    texts = own.select("text_hash", "text").join(F.broadcast(keys) if keys.count() <= FEW else keys, "text_hash")
-    sets = durable(_with_sets(texts.groupBy("cls").agg(F.min("text").alias("text")), words).drop("text"))
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("k"), (F.size("x") + F.size("y")).alias("n"))
-    return durable(shared.filter(F.col("k") + 1e-9 >= F.lit(jaccard) * (F.col("n") - F.col("k"))).select("a", "b"))
+        rows = [known[t] if t in known else known.setdefault(t, describe(t)) for t in texts.to_pylist()]
+        cls, fp, n, parity, prefix = zip(*rows, strict=True) if rows else ([], [], [], [], [])
+        return [pa.array(np.array(cls, np.uint64).view(np.int64)), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(np.array(n, np.int64)), pa.array(parity, pa.binary()), _lists(list(prefix))]
+
+    fields = [("cls", T.LongType()), ("fp", T.LongType()), ("n", T.LongType()), ("parity", T.BinaryType()), ("prefix", T.ArrayType(T.LongType()))]
+    return append_columns(own, "text", T.StructType([T.StructField(*f) for f in fields]), lambda: compute).drop("text")
 
 
 def _simhash_pairs(prints: DataFrame) -> DataFrame:
@@ -110,41 +118,152 @@ def _simhash_pairs(prints: DataFrame) -> DataFrame:
     return same.unionByName(near)
 
 
-def _prefix_pairs(prints: DataFrame, roots: DataFrame, jaccard: float) -> DataFrame:
-    """Pairs of classes that share a shingle of their prefixes, are not joined by ``roots`` (node, root) and pass both bounds."""
-    classes = durable(prints.filter("n > 0").select("cls", "n", "parity", "prefix").dropDuplicates(["cls"]))
-    lists = classes.select("cls", F.explode("prefix").alias("s")).groupBy("s").agg(F.sort_array(F.collect_list("cls")).alias("all")).filter(F.size("all") > 1).select("all").distinct()
-    members = lists.select(F.xxhash64("all").alias("list"), F.explode("all").alias("cls"))
-    about = classes.select("cls", "n", "parity").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    grouped = members.join(about, "cls").groupBy("list").agg(F.collect_list(F.struct("cls", "n", "root", "parity")).alias("m"))
-    columns = grouped.select(*[F.col(f"m.{c}").alias(c) for c in ("cls", "n", "root")], F.flatten("m.parity").alias("parity"))
+def _pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, own: DataFrame, classes: DataFrame, words: int, jaccard: float) -> DataFrame:
+    """Those of the distinct pairs (a < b) of classes whose shingles are as similar as asked."""
+    heavy = pairs.groupBy("a").count().filter(F.col("count") > FAN).select("a", F.ceil(F.col("count") / FAN).alias("parts"))
+    asked = pairs.join(few(heavy), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
+    wanted = asked.select("a", "part", F.col("b").alias("cls")).unionByName(asked.select("a", "part", F.col("a").alias("cls")).distinct())
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    keys = durable(classes.select("cls", "text_hash").join(few(needed), "cls", "left_semi"))
+    texts = own.select("text_hash", "text").join(few(keys), "text_hash").groupBy("cls").agg(F.min("text").alias("text"))
+    sent = wanted.join(texts, "cls").select("a", "part", "cls", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("cls") != F.col("a"))
+    bound_batches(own.sparkSession)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for a, cls, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                shingles = shingle_set(text.as_py(), words)
+                if cls == a:
+                    hub, own = a, shingles
+                    continue
+                if a != hub:
+                    raise ValueError("a pair without its hub")
+                shared = len(np.intersect1d(own, shingles, assume_unique=True))
+                if shared + 1e-9 >= jaccard * (len(own) + len(shingles) - shared):
+                    found.append((a, cls))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return durable(sent.mapInArrow(compare, "a long, b long"))
+
+
+def _meetings(prints: DataFrame) -> DataFrame:
+    """(g, k, cls): the classes that share a shingle g of their prefixes, k in number; one meeting for all with the same members."""
+    held = prints.filter("n > 0").select("cls", "prefix")
+    shared = held.dropDuplicates(["cls"]).select("cls", F.explode("prefix").alias("g")).groupBy("g").agg(F.count("*").alias("k"), F.min("cls").alias("low"), F.max("cls").alias("high"), F.bit_xor("cls").alias("x")).filter("k > 1")
+    met = durable(shared.groupBy("k", "low", "high", "x").agg(F.min("g").alias("g")))
+    two = met.filter("k = 2").select("g", "k", F.explode(F.array("low", "high")).alias("cls"))
+    more = met.filter("k > 2").select("g", "k")
+    return durable(two.unionByName(held.select("cls", F.explode("prefix").alias("g")).join(few(more), "g").select("g", "k", "cls").distinct()))
+
+
+def _open_blocks(meetings: DataFrame, classes: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """A row of lists (cls, n, root, side, parity) for every block, or pair of blocks, of the meetings whose classes are not all joined."""
+    rooted = meetings.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    parted = rooted.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("g")
+    parts = F.ceil(F.col("k") / block)
+    own = rooted.join(few(parted), "g", "left_semi").join(classes.select("cls", "n", "parity"), "cls").withColumn("side", F.pmod(F.xxhash64("cls"), parts))
+    dealt = own.select("g", "cls", "n", "root", "side", "parity", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("other"))
+    grouped = dealt.groupBy("g", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).agg(F.collect_list(F.struct("cls", "n", "root", "side", "parity")).alias("m"))
+    return grouped.select("i", "j", *[F.col(f"m.{c}").alias(c) for c in ("cls", "n", "root", "side", "parity")])
+
+
+def passing(cls: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, parity: list[np.ndarray], apart: bool, jaccard: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of the pairs that are not joined and hold both bounds, each pair once, and their differing bits; ``apart`` takes pairs of two sides only."""
+    none = np.zeros(0, np.int64)
+    found = [(none, none, none)]
+    width = np.array([len(p) for p in parity])
+    slack = (1 - jaccard) / (1 + jaccard)
+    for w in np.unique(width).tolist():
+        rows, later = np.flatnonzero(width == w), np.flatnonzero(width > w)
+        later = later[jaccard * n[later] <= n[rows].max() + 1e-9]
+        both = np.concatenate([rows, later])
+        bits = np.concatenate([folded(np.stack([parity[i] for i in both[width[both] == v]]), w) for v in np.unique(width[both])])
+        both = np.concatenate([both[width[both] == v] for v in np.unique(width[both])])
+        step = max(1, (1 << 18) // (len(both) * w))
+        for k in range(0, len(rows), step):
+            at = rows[k : k + step]
+            ok = (root[at, None] != root[both]) & (np.minimum(n[at, None], n[both]) + 1e-9 >= jaccard * np.maximum(n[at, None], n[both]))
+            ok &= (width[both] > w) | (cls[at, None] < cls[both])
+            if apart:
+                ok &= side[at, None] != side[both]
+            i, j = np.nonzero(ok)
+            if len(i):
+                differ = np.concatenate([np.bitwise_count(bits[k + i[c : c + 4096]] ^ bits[j[c : c + 4096]]).sum(axis=1, dtype=np.int64) for c in range(0, len(i), 4096)])
+                i, j = at[i], both[j]
+                hold = differ <= (n[i] + n[j]) * slack + 1e-9
+                found.append((i[hold], j[hold], differ[hold]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _each_block(jaccard: float, emit: Callable) -> Callable:
+    """A function over batches of ``_open_blocks`` that yields what ``emit(cls, i, j, differing bits)`` makes of each block's passing pairs."""
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = [batch.column(c) for c in range(2, 7)]
             for row in range(batch.num_rows):
-                cls, n, root, parity = (batch.column(c)[row].values.to_numpy(zero_copy_only=False) for c in range(4))
-                parity = parity.view(np.uint64).reshape(-1, _PARITY)
-                width = max(1, (1 << 18) // len(cls))
-                for k in range(0, len(cls), width):
-                    i, j = np.nonzero((cls[k : k + width, None] < cls) & (root[k : k + width, None] != root) & (np.minimum(n[k : k + width, None], n) + 1e-9 >= jaccard * np.maximum(n[k : k + width, None], n)))
-                    i += k
-                    differ = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64)
-                    ok = differ <= (n[i] + n[j]) * (1 - jaccard) / (1 + jaccard) + 1e-9
-                    if ok.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(cls[i[ok]]), pa.array(cls[j[ok]])], names=["a", "b"])
+                cls, n, root, side = (x[row].values.to_numpy(zero_copy_only=False) for x in lists[:4])
+                parity = [np.frombuffer(p, "<u8") for p in lists[4][row].as_py()]
+                i, j, differ = passing(cls, n, root, side, parity, batch.column(0)[row] != batch.column(1)[row], jaccard)
+                if len(i):
+                    yield emit(cls, i, j, differ)
+
+    return run
+
+
+def _all_pairs(blocks: DataFrame, jaccard: float) -> DataFrame:
+    emit = lambda cls, i, j, differ: pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array(cls[j])], names=["a", "b"])
+    return _pairs(blocks.mapInArrow(_each_block(jaccard, emit), "a long, b long"))
+
+
+def _count_pairs(blocks: DataFrame, jaccard: float) -> int:
+    emit = lambda cls, i, j, differ: pa.RecordBatch.from_arrays([pa.array([len(i)])], names=["pairs"])
+    return blocks.mapInArrow(_each_block(jaccard, emit), "pairs long").agg(F.sum("pairs")).first()[0] or 0
+
+
+def _nearest_pairs(blocks: DataFrame, jaccard: float, turn: int) -> DataFrame:
+    """Each open class with its nearest partner by differing bits; a block's leader, another one each turn, counts as a little nearer than it is, so that links form stars."""
+
+    def emit(cls: np.ndarray, i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> pa.RecordBatch:
+        with np.errstate(over="ignore"):
+            leader = np.argmin(cls.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn))
+        x, y, far = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([differ, differ]).astype(float)
+        far[y == leader] *= 0.85
+        order = np.lexsort((cls[y], far, x))
+        order = order[np.unique(x[order], return_index=True)[1]]
+        return pa.RecordBatch.from_arrays([pa.array(cls[x[order]]), pa.array(cls[y[order]]), pa.array(far[order])], names=["x", "y", "far"])
 
-    return columns.mapInArrow(meet, "a long, b long")
+    offers = blocks.mapInArrow(_each_block(jaccard, emit), "x long, y long, far double")
+    return _pairs(offers.groupBy("x").agg(F.min(F.struct("far", "y")).alias("best")).select(F.col("x").alias("a"), F.col("best.y").alias("b")))
 
 
-def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, jaccard: float = JACCARD) -> DataFrame:
+def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, jaccard: float = JACCARD, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, ``text_hash``, ``component_id`` and ``root`` for each document, as ``simhash.near_duplicates`` gives them.
 
     A component joins all documents reachable over pairs whose shingles have a Jaccard similarity of ``jaccard`` or more.
+    ``block`` and ``rounds`` decide the cost alone.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", simhash.text_key("text"))
     prints = durable(_described(own, words, jaccard, common_shingles(own, words)))
-    tight = _verified(_simhash_pairs(prints), own, prints, words, jaccard)
-    more = _verified(_prefix_pairs(prints, simhash.components(tight), jaccard), own, prints, words, jaccard)
-    roots = simhash.components(tight.unionByName(more))
+    classes = durable(prints.filter("n > 0").groupBy("cls").agg(F.min("text_hash").alias("text_hash"), F.min("n").alias("n"), F.min("parity").alias("parity")))
+    tested = durable(_pairs(_simhash_pairs(prints)))
+    links = _verified(tested, own, classes, words, jaccard)
+    meetings, enough, turn = _meetings(prints), max(10_000, classes.count() // 4), 0
+    while True:
+        blocks = durable(_open_blocks(meetings, classes, simhash.components(links), block))
+        last = turn >= rounds or (turn > 0 and _count_pairs(blocks, jaccard) <= enough)
+        offered = _all_pairs(blocks, jaccard) if last else _nearest_pairs(blocks, jaccard, turn)
+        offered = durable(offered.join(tested, ["a", "b"], "left_anti"))
+        links = durable(links.unionByName(_verified(offered, own, classes, words, jaccard)))
+        if last:
+            break
+        tested, turn = durable(tested.unionByName(offered)), turn + 1
+    roots = simhash.components(links)
     ids = prints.select("doc_id", "text_hash", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "text_hash", F.coalesce("root", "cls").alias("root"))
     return ids.join(ids.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "text_hash", "component_id", "root")

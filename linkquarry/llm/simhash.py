@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from linkquarry.llm.common import append_columns, durable, hash_share
+from linkquarry.llm.common import append_columns, durable, few, hash_share
 
 WORDS = 3
 RADIUS = 2
@@ -265,16 +265,23 @@ def one_of_each_group(docs: DataFrame, text_col: str = "text", id_col: str = "do
     """docs with one row of each group of near duplicates, as ``groups`` finds them: that with the smallest id, a null id only where no row has another.
 
     Of several texts with that id in one group the one with the smallest ``text_key`` stays, and of rows equal in both
-    any single one. The columns are those of docs.
+    any single one. The columns are those of docs. Only the keys of rows that go or repeat are joined with docs: where
+    they are few they are broadcast and no text is shuffled.
     """
-    found = groups(docs, text_col, id_col, **how).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
-    key = [f"{k}__{uuid.uuid4().hex}" for k in ("null", "id", "text")]
+    found = durable(groups(docs, text_col, id_col, **how).select("doc_id", "text_hash", "component_id", "root"))
+    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"))
+    *key, stays = (f"{k}__{uuid.uuid4().hex}" for k in ("null", "id", "text", "stays"))
 
     def keyed(df: DataFrame, own_id: str, text: F.Column) -> list[F.Column]:
         kind = df.schema[own_id].dataType
         zero = F.lit("" if isinstance(kind, T.StringType) else 0).cast(kind)
         return [F.col(own_id).isNull().alias(key[0]), F.coalesce(F.col(own_id), zero).alias(key[1]), text.alias(key[2])]
 
-    chosen = kept.select(*keyed(kept, "doc_id", F.col("text_hash"))).distinct()
-    return docs.select("*", *keyed(docs, id_col, text_key(text_col))).join(chosen, key, "left_semi").dropDuplicates(key).select(*docs.columns)
+    rows = found.select(*keyed(found, "doc_id", F.col("text_hash"))).groupBy(key).count()
+    marked = rows.join(chosen.select(*keyed(chosen, "doc_id", F.col("text_hash")), F.lit(True).alias(stays)), key, "left")
+    marked = durable(marked.filter(F.col(stays).isNull() | (F.col("count") > 1)).select(*key, F.coalesce(stays, F.lit(False)).alias(stays)))
+    joined = docs.select("*", *keyed(docs, id_col, text_key(text_col))).join(few(marked), key, "left")
+    kept = joined.filter(F.col(stays).isNull())
+    if not marked.filter(stays).isEmpty():
+        kept = kept.unionByName(joined.filter(stays).dropDuplicates(key))
+    return kept.select(*docs.columns)
