@@ -57,6 +57,11 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more tasks than so many narrow rows need, so that a small table isn't dealt over the partitions of a large one."""
+    return df.coalesce(max(8, -(-rows // (1 << 16))))
+
+
 def slices(batch: pa.RecordBatch, text_index: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive pieces of a batch whose texts have about ``most`` bytes at most (a longer text is a piece alone)."""
     if batch.num_rows == 0:

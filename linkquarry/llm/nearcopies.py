@@ -30,12 +30,12 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from linkquarry.llm import simhash
-from linkquarry.llm.common import append_columns, bound_batches, durable, few, hash_share
+from linkquarry.llm.common import append_columns, bound_batches, durable, few, hash_share, narrow
 
 WORDS = 5
 JACCARD = 0.8
 #: Documents that tell which shingles are common: this many at least, and this share of a large table.
-SAMPLE = 20_000
+SAMPLE = 10_000
 SHARE = 0.01
 #: Common shingles that are told to every task.
 COMMON = 1 << 17
@@ -44,7 +44,7 @@ BLOCK = 2048
 #: Partners that a hub's text is sent for at once.
 FAN = 256
 #: Rounds of nearest partners, at most, before all that is open is verified.
-ROUNDS = 5
+ROUNDS = 3
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -124,53 +124,67 @@ def _pairs(pairs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, own: DataFrame, classes: DataFrame, words: int, jaccard: float) -> DataFrame:
     """Those of the distinct pairs (a < b) of classes whose shingles are as similar as asked."""
-    heavy = pairs.groupBy("a").count().filter(F.col("count") > FAN).select("a", F.ceil(F.col("count") / FAN).alias("parts"))
-    asked = pairs.join(few(heavy), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
+    rows = pairs.count()
+    pairs = narrow(pairs, rows)
+    heavy = durable(pairs.groupBy("a").count().filter(F.col("count") > FAN).select("a", F.ceil(F.col("count") / FAN).alias("parts")))
+    asked = narrow(pairs.join(few(heavy), "a", "left"), rows).select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
     wanted = asked.select("a", "part", F.col("b").alias("cls")).unionByName(asked.select("a", "part", F.col("a").alias("cls")).distinct())
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    keys = durable(classes.select("cls", "text_hash").join(few(needed), "cls", "left_semi"))
-    texts = own.select("text_hash", "text").join(few(keys), "text_hash").groupBy("cls").agg(F.min("text").alias("text"))
-    sent = wanted.join(texts, "cls").select("a", "part", "cls", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("cls") != F.col("a"))
+    keys = durable(narrow(classes.select("cls", "text_hash").join(few(wanted), "cls"), 2 * rows).select("text_hash", "a", "part", "cls"))
     bound_batches(own.sparkSession)
 
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task sends what it holds of a class to a place once, however many copies of the text it has."""
+        sent: set[tuple] = set()
+        for batch in batches:
+            place = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            new = [i for i, x in enumerate(place) if x not in sent and not sent.add(x)]
+            if new:
+                yield batch.take(pa.array(new))
+
+    texts = own.select("text_hash", "text").join(few(keys), "text_hash").select("a", "part", "cls", "text").mapInArrow(once, "a long, part long, cls long, text string")
+    sent = texts.repartition("a", "part").sortWithinPartitions("a", "part", F.col("cls") != F.col("a"), "cls")
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, np.zeros(0, np.uint64)
+        hub, own, before = None, np.zeros(0, np.uint64), None
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for a, cls, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                shingles = shingle_set(text.as_py(), words)
+            for a, part, cls, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                if (a, part, cls) == before:
+                    continue
+                before, shingles = (a, part, cls), shingle_set(text.as_py(), words)
                 if cls == a:
-                    hub, own = a, shingles
+                    hub, own = (a, part), shingles
                     continue
-                if a != hub:
+                if (a, part) != hub:
                     raise ValueError("a pair without its hub")
                 shared = len(np.intersect1d(own, shingles, assume_unique=True))
                 if shared + 1e-9 >= jaccard * (len(own) + len(shingles) - shared):
                     found.append((a, cls))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return durable(sent.mapInArrow(compare, "a long, b long"))
+    return durable(narrow(sent.mapInArrow(compare, "a long, b long"), rows))
 
 
-def _meetings(prints: DataFrame) -> DataFrame:
-    """(g, k, cls): the classes that share a shingle g of their prefixes, k in number; one meeting for all with the same members."""
+def _meetings(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """(g, k, cls, n, parity): the classes that share a shingle g of their prefixes, k in number; one meeting for all with the same members."""
     held = prints.filter("n > 0").select("cls", "prefix")
     shared = held.dropDuplicates(["cls"]).select("cls", F.explode("prefix").alias("g")).groupBy("g").agg(F.count("*").alias("k"), F.min("cls").alias("low"), F.max("cls").alias("high"), F.bit_xor("cls").alias("x")).filter("k > 1")
     met = durable(shared.groupBy("k", "low", "high", "x").agg(F.min("g").alias("g")))
     two = met.filter("k = 2").select("g", "k", F.explode(F.array("low", "high")).alias("cls"))
     more = met.filter("k > 2").select("g", "k")
-    return durable(two.unionByName(held.select("cls", F.explode("prefix").alias("g")).join(few(more), "g").select("g", "k", "cls").distinct()))
+    members = two.unionByName(held.select("cls", F.explode("prefix").alias("g")).join(few(more), "g").select("g", "k", "cls").distinct())
+    return durable(members.join(classes.select("cls", "n", "parity"), "cls"))
 
 
-def _open_blocks(meetings: DataFrame, classes: DataFrame, roots: DataFrame, block: int) -> DataFrame:
-    """A row of lists (cls, n, root, side, parity) for every block, or pair of blocks, of the meetings whose classes are not all joined."""
-    rooted = meetings.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+def _open_blocks(meetings: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """g and lists (cls, n, root, side, parity) for every block, or pair of blocks, of the meetings whose classes are not all joined."""
+    rooted = meetings.join(few(roots.select(F.col("node").alias("cls"), "root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     parted = rooted.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("g")
     parts = F.ceil(F.col("k") / block)
-    own = rooted.join(few(parted), "g", "left_semi").join(classes.select("cls", "n", "parity"), "cls").withColumn("side", F.pmod(F.xxhash64("cls"), parts))
+    own = rooted.join(few(durable(parted)), "g", "left_semi").withColumn("side", F.pmod(F.xxhash64("cls"), parts))
     dealt = own.select("g", "cls", "n", "root", "side", "parity", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("other"))
     grouped = dealt.groupBy("g", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).agg(F.collect_list(F.struct("cls", "n", "root", "side", "parity")).alias("m"))
-    return grouped.select("i", "j", *[F.col(f"m.{c}").alias(c) for c in ("cls", "n", "root", "side", "parity")])
+    return grouped.select("g", (F.col("i") != F.col("j")).alias("apart"), *[F.col(f"m.{c}").alias(c) for c in ("cls", "n", "root", "side", "parity")])
 
 
 def passing(cls: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, parity: list[np.ndarray], apart: bool, jaccard: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -202,7 +216,7 @@ def passing(cls: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray,
 
 
 def _each_block(jaccard: float, emit: Callable) -> Callable:
-    """A function over batches of ``_open_blocks`` that yields what ``emit(cls, i, j, differing bits)`` makes of each block's passing pairs."""
+    """A function over batches of ``_open_blocks`` that yields what ``emit(g, cls, i, j, differing bits)`` makes of each block's passing pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,37 +224,36 @@ def _each_block(jaccard: float, emit: Callable) -> Callable:
             for row in range(batch.num_rows):
                 cls, n, root, side = (x[row].values.to_numpy(zero_copy_only=False) for x in lists[:4])
                 parity = [np.frombuffer(p, "<u8") for p in lists[4][row].as_py()]
-                i, j, differ = passing(cls, n, root, side, parity, batch.column(0)[row] != batch.column(1)[row], jaccard)
+                i, j, differ = passing(cls, n, root, side, parity, batch.column(1)[row].as_py(), jaccard)
                 if len(i):
-                    yield emit(cls, i, j, differ)
+                    yield emit(batch.column(0)[row].as_py(), cls, i, j, differ)
 
     return run
 
 
 def _all_pairs(blocks: DataFrame, jaccard: float) -> DataFrame:
-    emit = lambda cls, i, j, differ: pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array(cls[j])], names=["a", "b"])
+    emit = lambda g, cls, i, j, differ: pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array(cls[j])], names=["a", "b"])
     return _pairs(blocks.mapInArrow(_each_block(jaccard, emit), "a long, b long"))
 
 
 def _count_pairs(blocks: DataFrame, jaccard: float) -> int:
-    emit = lambda cls, i, j, differ: pa.RecordBatch.from_arrays([pa.array([len(i)])], names=["pairs"])
+    emit = lambda g, cls, i, j, differ: pa.RecordBatch.from_arrays([pa.array([len(i)])], names=["pairs"])
     return blocks.mapInArrow(_each_block(jaccard, emit), "pairs long").agg(F.sum("pairs")).first()[0] or 0
 
 
-def _nearest_pairs(blocks: DataFrame, jaccard: float, turn: int) -> DataFrame:
-    """Each open class with its nearest partner by differing bits; a block's leader, another one each turn, counts as a little nearer than it is, so that links form stars."""
+def _nearest(blocks: DataFrame, jaccard: float, turn: int) -> DataFrame:
+    """(g, x, y, far): each open class x with its nearest partner in a block, by differing bits; a block's leader, another one each turn, counts as a little nearer than it is, so that links form stars."""
 
-    def emit(cls: np.ndarray, i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> pa.RecordBatch:
+    def emit(g: int, cls: np.ndarray, i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> pa.RecordBatch:
         with np.errstate(over="ignore"):
             leader = np.argmin(cls.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn))
         x, y, far = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([differ, differ]).astype(float)
         far[y == leader] *= 0.85
         order = np.lexsort((cls[y], far, x))
         order = order[np.unique(x[order], return_index=True)[1]]
-        return pa.RecordBatch.from_arrays([pa.array(cls[x[order]]), pa.array(cls[y[order]]), pa.array(far[order])], names=["x", "y", "far"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(order), g)), pa.array(cls[x[order]]), pa.array(cls[y[order]]), pa.array(far[order])], names=["g", "x", "y", "far"])
 
-    offers = blocks.mapInArrow(_each_block(jaccard, emit), "x long, y long, far double")
-    return _pairs(offers.groupBy("x").agg(F.min(F.struct("far", "y")).alias("best")).select(F.col("x").alias("a"), F.col("best.y").alias("b")))
+    return blocks.mapInArrow(_each_block(jaccard, emit), "g long, x long, y long, far double")
 
 
 def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, jaccard: float = JACCARD, block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
@@ -254,16 +267,23 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     classes = durable(prints.filter("n > 0").groupBy("cls").agg(F.min("text_hash").alias("text_hash"), F.min("n").alias("n"), F.min("parity").alias("parity")))
     tested = durable(_pairs(_simhash_pairs(prints)))
     links = _verified(tested, own, classes, words, jaccard)
-    meetings, enough, turn = _meetings(prints), max(10_000, classes.count() // 4), 0
+    meetings, enough, turn = _meetings(prints, classes), max(50_000, 8 * classes.count()), 0
     while True:
-        blocks = durable(_open_blocks(meetings, classes, simhash.components(links), block))
+        blocks = _open_blocks(meetings, simhash.components(links), block)
+        blocks = durable(blocks) if turn else blocks
         last = turn >= rounds or (turn > 0 and _count_pairs(blocks, jaccard) <= enough)
-        offered = _all_pairs(blocks, jaccard) if last else _nearest_pairs(blocks, jaccard, turn)
+        if last:
+            offered = _all_pairs(blocks, jaccard)
+        else:
+            offers = durable(_nearest(blocks, jaccard, turn))
+            # Joining more classes lets no further pair pass, so a meeting without offers stays without.
+            meetings = durable(meetings.join(few(durable(offers.select("g").distinct())), "g", "left_semi"))
+            offered = _pairs(offers.groupBy("x").agg(F.min(F.struct("far", "y")).alias("best")).select(F.col("x").alias("a"), F.col("best.y").alias("b")))
         offered = durable(offered.join(tested, ["a", "b"], "left_anti"))
-        links = durable(links.unionByName(_verified(offered, own, classes, words, jaccard)))
+        links = links.unionByName(_verified(offered, own, classes, words, jaccard))
         if last:
             break
-        tested, turn = durable(tested.unionByName(offered)), turn + 1
+        tested, turn = tested.unionByName(offered), turn + 1
     roots = simhash.components(links)
     ids = prints.select("doc_id", "text_hash", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "text_hash", F.coalesce("root", "cls").alias("root"))
     return ids.join(ids.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "text_hash", "component_id", "root")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from linkquarry.llm.common import append_columns, durable, few, hash_share
+from linkquarry.llm.common import append_columns, durable, few, hash_share, narrow
 
 WORDS = 3
 RADIUS = 2
@@ -219,15 +219,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     last = mark(edges)
     for _ in range(most_rounds):
-        if not last[0]:
+        rows = last[0]
+        if not rows:
             break
+        edges = narrow(edges, rows)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = narrow(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), rows)
+        large = narrow(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), rows)
+        low = narrow(large.groupBy("a").agg(F.min("b").alias("m")), rows)
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = durable(small.select("e.a", "e.b").filter("a <> b").distinct())
+        edges = durable(narrow(small.select("e.a", "e.b").filter("a <> b").distinct(), rows))
         now = mark(edges)
         if now == last:
             break

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from linkquarry.llm import nearcopies
 
@@ -56,5 +58,45 @@ def test_similarity_at_the_border(spark, sf, monkeypatch):
     want = brute_kept(rows)
     assert rows[-1][0] not in want and rows[-3][0] in want
     for sample in (20_000, 1):  # the sample decides the cost, not the result
-        monkeypatch.setattr(nearcopies.common_shingles, "__defaults__", (nearcopies.WORDS, sample, nearcopies.COMMON))
+        monkeypatch.setattr(nearcopies.common_shingles, "__defaults__", (nearcopies.WORDS, sample, 0.0, nearcopies.COMMON))
         assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table, sf).collect()) == want
+
+
+def test_large_groups_in_blocks_and_rounds(spark):
+    """A group of near copies around one text, some of which are only joined through others; blocks and rounds don't change the result."""
+    rng, rows = random.Random(9), []
+    base = [f"m{i}" for i in range(60)]
+    for _ in range(120):
+        text = list(base)
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(len(text))] = f"e{rng.randrange(10**6)}"
+        rows.append((len(rows), " ".join(text)))
+    chain = [f"c{i}" for i in range(150)]
+    rows += [(len(rows) + k, " ".join(chain[5 * k : 5 * k + 70])) for k in range(16)]
+    rows += [(rows[-1][0] + 1 + k, " ".join([*base[:18], *(f"o{k}_{i}" for i in range(40))])) for k in range(30)]
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[::7])]
+    table, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), brute_kept(rows)
+    for block, rounds in ((2048, 3), (2048, 0), (7, 1)):
+        found = nearcopies.near_copies(table, block=block, rounds=rounds).collect()
+        assert len(found) == len(rows) and sorted({r.component_id for r in found}) == want
+
+
+def test_bounds_of_pairs():
+    """Parity bits never differ in more places than the sets differ in shingles, on any common number of places."""
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 300), dtype=np.uint64))
+        b = np.unique(np.concatenate([rng.choice(a, rng.integers(0, len(a) + 1), replace=False), rng.integers(0, 1 << 63, rng.integers(1, 200), dtype=np.uint64)]))
+        pa, pb = nearcopies.parity_bits(a), nearcopies.parity_bits(b)
+        w = min(len(pa), len(pb))
+        differ = int(np.bitwise_count(nearcopies.folded(pa[None], w) ^ nearcopies.folded(pb[None], w)).sum())
+        assert differ <= len(np.setxor1d(a, b)) and len(pa) * 64 >= len(a)
+
+
+def test_hubs_with_many_partners_and_copies(spark, monkeypatch):
+    """A hub whose partners fill several parts, and texts that stand in many rows."""
+    monkeypatch.setattr(nearcopies, "FAN", 3)
+    base = [f"h{i}" for i in range(80)]
+    rows = [(i, " ".join(base[: 80 - i % 4])) for i in range(40)] + [(100 + i, " ".join([*base, f"t{i}"])) for i in range(20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.component_id for r in nearcopies.near_copies(table).collect()} == {0}

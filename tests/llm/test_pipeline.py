@@ -5,14 +5,13 @@ from linkquarry.llm import bpe, decontaminate, secrets, tokens
 
 
 def test_stages_on_whole_tables(spark, docs, sf):
-    from tests.llm.test_groups import brute_components, brute_fingerprint
+    from tests.llm.test_nearcopies import brute_kept
 
     rows = docs.toPandas().sort_values("doc_id", ignore_index=True)
     one = corpus_pipeline.keep_languages(spark, docs, sf)
     assert one.columns == docs.columns and one.count() == len(rows)  # every text here is in a learned language
     two = corpus_pipeline.drop_near_copies(spark, docs, sf)
-    root = brute_components(rows.doc_id.tolist(), [brute_fingerprint(t) for t in rows.text])
-    kept = rows[rows.doc_id == root]
+    kept = rows[rows.doc_id.isin(brute_kept(list(zip(rows.doc_id, rows.text, strict=True))))]
     assert two.columns == docs.columns and sorted(r.doc_id for r in two.select("doc_id").collect()) == kept.doc_id.tolist()
     items = [decontaminate.shingles_of(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = [d for d, t in zip(kept.doc_id, kept.text, strict=True) if not any(s and len(s & decontaminate.shingles_of(t)) >= 0.8 * len(s) - 1e-9 for s in items)]
