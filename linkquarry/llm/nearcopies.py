@@ -187,19 +187,16 @@ def _open_blocks(meetings: DataFrame, roots: DataFrame, block: int) -> DataFrame
     return grouped.select("g", (F.col("i") != F.col("j")).alias("apart"), *[F.col(f"m.{c}").alias(c) for c in ("cls", "n", "root", "side", "parity")])
 
 
-def passing(cls: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, parity: list[np.ndarray], apart: bool, jaccard: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Indices of the pairs that are not joined and hold both bounds, each pair once, and their differing bits; ``apart`` takes pairs of two sides only."""
-    none = np.zeros(0, np.int64)
-    found = [(none, none, none)]
+def passing(cls: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, parity: list[np.ndarray], apart: bool, jaccard: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of the pairs (indices) that are not joined and hold both bounds, each pair once, with their differing bits; ``apart`` takes pairs of two sides only."""
     width = np.array([len(p) for p in parity])
     slack = (1 - jaccard) / (1 + jaccard)
     for w in np.unique(width).tolist():
         rows, later = np.flatnonzero(width == w), np.flatnonzero(width > w)
         later = later[jaccard * n[later] <= n[rows].max() + 1e-9]
-        both = np.concatenate([rows, later])
+        both = np.concatenate([rows, later[np.argsort(width[later], kind="stable")]])
         bits = np.concatenate([folded(np.stack([parity[i] for i in both[width[both] == v]]), w) for v in np.unique(width[both])])
-        both = np.concatenate([both[width[both] == v] for v in np.unique(width[both])])
-        step = max(1, (1 << 18) // (len(both) * w))
+        step = max(1, (1 << 17) // (len(both) * w))
         for k in range(0, len(rows), step):
             at = rows[k : k + step]
             ok = (root[at, None] != root[both]) & (np.minimum(n[at, None], n[both]) + 1e-9 >= jaccard * np.maximum(n[at, None], n[both]))
@@ -208,15 +205,15 @@ def passing(cls: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray,
                 ok &= side[at, None] != side[both]
             i, j = np.nonzero(ok)
             if len(i):
-                differ = np.concatenate([np.bitwise_count(bits[k + i[c : c + 4096]] ^ bits[j[c : c + 4096]]).sum(axis=1, dtype=np.int64) for c in range(0, len(i), 4096)])
+                differ = np.bitwise_count(bits[k + i] ^ bits[j]).sum(axis=1, dtype=np.int64)
                 i, j = at[i], both[j]
                 hold = differ <= (n[i] + n[j]) * slack + 1e-9
-                found.append((i[hold], j[hold], differ[hold]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+                if hold.any():
+                    yield i[hold], j[hold], differ[hold]
 
 
 def _each_block(jaccard: float, emit: Callable) -> Callable:
-    """A function over batches of ``_open_blocks`` that yields what ``emit(g, cls, i, j, differing bits)`` makes of each block's passing pairs."""
+    """A function over batches of ``_open_blocks`` that yields what ``emit(g, cls, pieces of passing pairs)`` makes of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,34 +221,43 @@ def _each_block(jaccard: float, emit: Callable) -> Callable:
             for row in range(batch.num_rows):
                 cls, n, root, side = (x[row].values.to_numpy(zero_copy_only=False) for x in lists[:4])
                 parity = [np.frombuffer(p, "<u8") for p in lists[4][row].as_py()]
-                i, j, differ = passing(cls, n, root, side, parity, batch.column(1)[row].as_py(), jaccard)
-                if len(i):
-                    yield emit(batch.column(0)[row].as_py(), cls, i, j, differ)
+                yield from emit(batch.column(0)[row].as_py(), cls, passing(cls, n, root, side, parity, batch.column(1)[row].as_py(), jaccard))
 
     return run
 
 
 def _all_pairs(blocks: DataFrame, jaccard: float) -> DataFrame:
-    emit = lambda g, cls, i, j, differ: pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array(cls[j])], names=["a", "b"])
+    def emit(g: int, cls: np.ndarray, pieces: Iterator) -> Iterator[pa.RecordBatch]:
+        for i, j, _ in pieces:
+            yield pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array(cls[j])], names=["a", "b"])
+
     return _pairs(blocks.mapInArrow(_each_block(jaccard, emit), "a long, b long"))
 
 
 def _count_pairs(blocks: DataFrame, jaccard: float) -> int:
-    emit = lambda g, cls, i, j, differ: pa.RecordBatch.from_arrays([pa.array([len(i)])], names=["pairs"])
+    def emit(g: int, cls: np.ndarray, pieces: Iterator) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(i) for i, _, _ in pieces)], pa.int64())], names=["pairs"])
+
     return blocks.mapInArrow(_each_block(jaccard, emit), "pairs long").agg(F.sum("pairs")).first()[0] or 0
 
 
 def _nearest(blocks: DataFrame, jaccard: float, turn: int) -> DataFrame:
     """(g, x, y, far): each open class x with its nearest partner in a block, by differing bits; a block's leader, another one each turn, counts as a little nearer than it is, so that links form stars."""
 
-    def emit(g: int, cls: np.ndarray, i: np.ndarray, j: np.ndarray, differ: np.ndarray) -> pa.RecordBatch:
+    def emit(g: int, cls: np.ndarray, pieces: Iterator) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             leader = np.argmin(cls.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn))
-        x, y, far = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([differ, differ]).astype(float)
-        far[y == leader] *= 0.85
-        order = np.lexsort((cls[y], far, x))
-        order = order[np.unique(x[order], return_index=True)[1]]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(order), g)), pa.array(cls[x[order]]), pa.array(cls[y[order]]), pa.array(far[order])], names=["g", "x", "y", "far"])
+        near, least = np.full(len(cls), -1), np.full(len(cls), np.inf)
+        for i, j, differ in pieces:
+            x, y, far = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([differ, differ]).astype(float)
+            far[y == leader] *= 0.85
+            order = np.lexsort((cls[y], far, x))
+            x, y, far = (v[order[np.unique(x[order], return_index=True)[1]]] for v in (x, y, far))
+            nearer = (far < least[x]) | ((far == least[x]) & (cls[y] < cls[near[x]]))
+            near[x[nearer]], least[x[nearer]] = y[nearer], far[nearer]
+        open_ = np.flatnonzero(near >= 0)
+        if len(open_):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(open_), g)), pa.array(cls[open_]), pa.array(cls[near[open_]]), pa.array(least[open_])], names=["g", "x", "y", "far"])
 
     return blocks.mapInArrow(_each_block(jaccard, emit), "g long, x long, y long, far double")
 
