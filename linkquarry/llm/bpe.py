@@ -87,12 +87,14 @@ class ChunkEncoder:
                 missing.append(piece)
             else:
                 pieces[piece] = hit
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in missing], add_special_tokens=False)]
+        few = 8  # the library's encodings are large: hold those of a few pieces at a time
+        ids = (e.ids for k in range(0, len(missing), few) for e in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in missing[k : k + few]], add_special_tokens=False))
         for piece, own in zip(missing, ids, strict=True):
             decoded = b"".join(map(self.spelling.__getitem__, own))
             if decoded != piece:  # bytes that are no UTF-8 decode as the library has it
                 decoded = decoded.decode("utf-8", "replace").encode("utf-8")
-            pieces[piece] = (np.frombuffer(array("I", own), dtype="<u4"), decoded)
+            # Text that decodes as itself is held once.
+            pieces[piece] = (np.frombuffer(array("I", own), dtype="<u4"), piece if decoded == piece else decoded)
             self.encoded += len(piece)
             if self.held > self.cache_bytes:
                 self.old, self.young, self.held = self.young, {}, 0

@@ -97,7 +97,9 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, te
             texts = [t or "" for t in texts.to_pylist()]
             known: dict[str, int] = dict.fromkeys(texts, 0)
             short = [t for t in known if len(t) <= chunk]
-            known |= zip(short, map(len, tokenizer.encode_batch_fast(short, add_special_tokens=False)), strict=True)
+            few = 8  # the library's encodings are large: hold those of a few texts at a time
+            for k in range(0, len(short), few):
+                known |= zip(short[k : k + few], map(len, tokenizer.encode_batch_fast(short[k : k + few], add_special_tokens=False)), strict=True)
             known |= {t: count_spliced(tokenizer, t, chunk) for t in known if len(t) > chunk}
             n = [known[t] for t in texts]
             return [[len(t.encode()) for t in texts], n, [x > limit for x in n]]
