@@ -166,29 +166,61 @@ def _verified(pairs: DataFrame, own: DataFrame, classes: DataFrame, words: int,
 
 
 def _meetings(prints: DataFrame, classes: DataFrame) -> DataFrame:
-    """(g, k, cls, n, parity): the classes that share a shingle g of their prefixes, k in number; one meeting for all with the same members."""
+    """(g, k, cls, n, parity, before): the classes that share a shingle g of their prefixes, k in number; one meeting for all with the same members. ``before`` is empty."""
     held = prints.filter("n > 0").select("cls", "prefix")
     shared = held.dropDuplicates(["cls"]).select("cls", F.explode("prefix").alias("g")).groupBy("g").agg(F.count("*").alias("k"), F.min("cls").alias("low"), F.max("cls").alias("high"), F.bit_xor("cls").alias("x")).filter("k > 1")
     met = durable(shared.groupBy("k", "low", "high", "x").agg(F.min("g").alias("g")))
     two = met.filter("k = 2").select("g", "k", F.explode(F.array("low", "high")).alias("cls"))
     more = met.filter("k > 2").select("g", "k")
     members = two.unionByName(held.select("cls", F.explode("prefix").alias("g")).join(few(more), "g").select("g", "k", "cls").distinct())
-    return durable(members.join(classes.select("cls", "n", "parity"), "cls"))
+    return durable(members.join(classes.select("cls", "n", "parity"), "cls").withColumn("before", F.array().cast("array<bigint>")))
+
+
+def _live(meetings: DataFrame, offers: DataFrame) -> DataFrame:
+    """The meetings with offers, ``before`` being a class's other meetings of lesser g: two classes meet in earnest only at the first of theirs.
+
+    Joining more classes lets no further pair pass, so a meeting without offers stays without.
+    """
+    live = meetings.drop("before").join(few(durable(offers.select("g").distinct())), "g", "left_semi")
+    every = live.groupBy("cls").agg(F.collect_list("g").alias("every"))
+    return durable(live.join(every, "cls").withColumn("before", F.filter("every", lambda x: x < F.col("g"))).drop("every"))
 
 
 def _open_blocks(meetings: DataFrame, roots: DataFrame, block: int) -> DataFrame:
-    """g and lists (cls, n, root, side, parity) for every block, or pair of blocks, of the meetings whose classes are not all joined."""
+    """g and lists (cls, n, root, side, parity, before) for every block, or pair of blocks, of the meetings whose classes are not all joined."""
     rooted = meetings.join(few(roots.select(F.col("node").alias("cls"), "root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     parted = rooted.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("g")
     parts = F.ceil(F.col("k") / block)
     own = rooted.join(few(durable(parted)), "g", "left_semi").withColumn("side", F.pmod(F.xxhash64("cls"), parts))
-    dealt = own.select("g", "cls", "n", "root", "side", "parity", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("other"))
-    grouped = dealt.groupBy("g", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).agg(F.collect_list(F.struct("cls", "n", "root", "side", "parity")).alias("m"))
-    return grouped.select("g", (F.col("i") != F.col("j")).alias("apart"), *[F.col(f"m.{c}").alias(c) for c in ("cls", "n", "root", "side", "parity")])
-
-
-def passing(cls: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, parity: list[np.ndarray], apart: bool, jaccard: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pieces of the pairs (indices) that are not joined and hold both bounds, each pair once, with their differing bits; ``apart`` takes pairs of two sides only."""
+    dealt = own.select("g", "cls", "n", "root", "side", "parity", "before", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("other"))
+    grouped = dealt.groupBy("g", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).agg(F.collect_list(F.struct("cls", "n", "root", "side", "parity", "before")).alias("m"))
+    return grouped.select("g", (F.col("i") != F.col("j")).alias("apart"), *[F.col(f"m.{c}").alias(c) for c in ("cls", "n", "root", "side", "parity", "before")])
+
+
+def _sets_as_bits(sets: list[np.ndarray]) -> np.ndarray:
+    """Rows of 64-bit words, one bit for every value that several of the sets hold."""
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    bits = np.zeros((len(sets), max(1, -(-int(place[-1] + 1) // 64)) * 64), bool)
+    several = count[at] > 1
+    bits[np.repeat(np.arange(len(sets)), [len(x) for x in sets])[several], place[at][several]] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def _pieces(values: pa.Array) -> list[np.ndarray]:
+    """The 64-bit words of every list or binary of an array."""
+    if pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
+        flat, ends = values.flatten().to_numpy(zero_copy_only=False), np.cumsum(values.value_lengths().to_numpy(zero_copy_only=False))
+    else:
+        whole = values.cast(pa.large_binary())
+        at = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1] // 8
+        flat, ends = np.frombuffer(whole.buffers()[2], "<u8", at[-1] - at[0], 8 * at[0]), at[1:] - at[0]
+    return np.split(flat, ends[:-1])
+
+
+def passing(cls: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray, parity: list[np.ndarray], before: list[np.ndarray], apart: bool, jaccard: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pieces of the pairs (indices) that are not joined, did not meet ``before`` and hold both bounds, with their differing bits; ``apart`` takes pairs of two sides only."""
+    met = _sets_as_bits(before) if any(map(len, before)) else None
     width = np.array([len(p) for p in parity])
     slack = (1 - jaccard) / (1 + jaccard)
     for w in np.unique(width).tolist():
@@ -208,6 +240,8 @@ def passing(cls: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray,
                 differ = np.bitwise_count(bits[k + i] ^ bits[j]).sum(axis=1, dtype=np.int64)
                 i, j = at[i], both[j]
                 hold = differ <= (n[i] + n[j]) * slack + 1e-9
+                if met is not None:
+                    hold &= ~(met[i] & met[j]).any(axis=1)
                 if hold.any():
                     yield i[hold], j[hold], differ[hold]
 
@@ -217,11 +251,12 @@ def _each_block(jaccard: float, emit: Callable) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [batch.column(c) for c in range(2, 7)]
-            for row in range(batch.num_rows):
-                cls, n, root, side = (x[row].values.to_numpy(zero_copy_only=False) for x in lists[:4])
-                parity = [np.frombuffer(p, "<u8") for p in lists[4][row].as_py()]
-                yield from emit(batch.column(0)[row].as_py(), cls, passing(cls, n, root, side, parity, batch.column(1)[row].as_py(), jaccard))
+            g, apart = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ends = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))]).tolist()
+            cls, n, root, side = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in range(2, 6))
+            parity, before = (_pieces(batch.column(c).flatten()) for c in (6, 7))
+            for row, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                yield from emit(g[row], cls[a:b], passing(cls[a:b], n[a:b], root[a:b], side[a:b], parity[a:b], before[a:b], apart[row], jaccard))
 
     return run
 
@@ -273,7 +308,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     classes = durable(prints.filter("n > 0").groupBy("cls").agg(F.min("text_hash").alias("text_hash"), F.min("n").alias("n"), F.min("parity").alias("parity")))
     tested = durable(_pairs(_simhash_pairs(prints)))
     links = _verified(tested, own, classes, words, jaccard)
-    meetings, enough, turn = _meetings(prints, classes), max(50_000, 8 * classes.count()), 0
+    meetings, enough, turn = _meetings(prints, classes), max(50_000, classes.count()), 0
     while True:
         blocks = _open_blocks(meetings, simhash.components(links), block)
         blocks = durable(blocks) if turn else blocks
@@ -282,8 +317,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
             offered = _all_pairs(blocks, jaccard)
         else:
             offers = durable(_nearest(blocks, jaccard, turn))
-            # Joining more classes lets no further pair pass, so a meeting without offers stays without.
-            meetings = durable(meetings.join(few(durable(offers.select("g").distinct())), "g", "left_semi"))
+            meetings = _live(meetings, offers)
             offered = _pairs(offers.groupBy("x").agg(F.min(F.struct("far", "y")).alias("best")).select(F.col("x").alias("a"), F.col("best.y").alias("b")))
         offered = durable(offered.join(tested, ["a", "b"], "left_anti"))
         links = links.unionByName(_verified(offered, own, classes, words, jaccard))
