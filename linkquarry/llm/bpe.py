@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from linkquarry.llm.common import append_columns, text_bytes
+from linkquarry.llm.common import append_columns, kept, text_bytes
 from linkquarry.llm.tokens import default_vocabulary, load_tokenizer
 
 #: A border stands where this many low bits of the hash are zero: about every 2 KB.
@@ -112,16 +112,9 @@ class ChunkEncoder:
         return [(np.concatenate([pieces[p][0] for p in x]) if x else none, b"".join(pieces[p][1] for p in x)) for x in cut]
 
 
-_ENCODERS: dict[tuple, ChunkEncoder] = {}
-
-
 def encoder(path: str, bits: int, cache_bytes: int) -> ChunkEncoder:
     """The worker process's own encoder, whose cache outlives a task."""
-    key = (path, bits, cache_bytes)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = ChunkEncoder(path, bits, cache_bytes)
-    return _ENCODERS[key]
+    return kept(("encoder", path, bits, cache_bytes), lambda: ChunkEncoder(path, bits, cache_bytes))
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, text_col: str = "text", with_ids: bool = False, bits: int = BORDER_BITS, cache_bytes: int = CACHE_BYTES) -> DataFrame:
@@ -149,4 +142,4 @@ def encode_decode(docs: DataFrame, path: str | None = None, text_col: str = "tex
 
         return compute
 
-    return append_columns(docs, text_col, T.StructType(fields), make)
+    return append_columns(docs, text_col, T.StructType(fields), make, keeps=True)

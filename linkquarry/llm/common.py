@@ -10,8 +10,9 @@ Conventions that hold for every operator of this subpackage unless its own docst
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,27 +93,52 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(8 << 20))
 
 
-def append_columns(df: DataFrame, text_col: str, schema: T.StructType, make: Callable[[], Callable[[pa.Array], list[pa.Array]]]) -> DataFrame:
+_KEPT: dict[Hashable, object] = {}
+
+
+def kept(key: Hashable, build: Callable[[], object]):
+    """The one large thing that a worker process keeps from task to task, such as a tokenizer; it gives way to the next."""
+    if key not in _KEPT:
+        made = build()
+        _KEPT.clear()
+        _KEPT[key] = made
+    return _KEPT[key]
+
+
+def give_back(all_kept: bool = False) -> None:
+    """Let the system have what this process has freed: workers live long, and each operator would leave its own peak behind."""
+    if all_kept:
+        _KEPT.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
+    if trim:
+        trim(0)
+
+
+def append_columns(df: DataFrame, text_col: str, schema: T.StructType, make: Callable[[], Callable[[pa.Array], list[pa.Array]]], keeps: bool = False) -> DataFrame:
     """df with the columns of ``schema``, which ``make()(texts)`` computes in an Arrow-batched pass without a shuffle.
 
-    ``make`` runs once in each task (models and tokenizers are loaded there). Columns of df with a name of
+    ``make`` runs once in each task (models and tokenizers are loaded there); ``keeps`` leaves what it has ``kept`` to later tasks. Columns of df with a name of
     ``schema`` give way. The text column must be a string column; it is read whole, in slices of bounded bytes.
     """
     bound_batches(df.sparkSession)
     new = {f.name.lower() for f in schema}
-    kept = [i for i, f in enumerate(df.schema) if f.name.lower() not in new]
+    own = [i for i, f in enumerate(df.schema) if f.name.lower() not in new]
     text_index = [f.name.lower() for f in df.schema].index(text_col.lower())
-    names = [df.schema[i].name for i in kept] + schema.names
+    names = [df.schema[i].name for i in own] + schema.names
     types = [_arrow_type(f.dataType) for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            give_back(all_kept=True)
         compute = make()
         for whole in batches:
             for batch in slices(whole, text_index):
                 out = [pa.array(x, t) if not isinstance(x, pa.Array) else x.cast(t) for x, t in zip(compute(batch.column(text_index)), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + out, names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in own] + out, names=names)
+        give_back()
 
-    return df.mapInArrow(run, T.StructType([df.schema[i] for i in kept] + list(schema)))
+    return df.mapInArrow(run, T.StructType([df.schema[i] for i in own] + list(schema)))
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

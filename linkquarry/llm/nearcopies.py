@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from linkquarry.llm import simhash
-from linkquarry.llm.common import append_columns, bound_batches, durable, few, hash_share, narrow
+from linkquarry.llm.common import append_columns, bound_batches, durable, few, give_back, hash_share, narrow
 
 WORDS = 5
 JACCARD = 0.8
@@ -161,6 +161,7 @@ def _verified(pairs: DataFrame, own: DataFrame, classes: DataFrame, words: int,
                 if shared + 1e-9 >= jaccard * (len(own) + len(shingles) - shared):
                     found.append((a, cls))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        give_back()
 
     return durable(narrow(sent.mapInArrow(compare, "a long, b long"), rows))
 
@@ -257,6 +258,7 @@ def _each_block(jaccard: float, emit: Callable) -> Callable:
             parity, before = (_pieces(batch.column(c).flatten()) for c in (6, 7))
             for row, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
                 yield from emit(g[row], cls[a:b], passing(cls[a:b], n[a:b], root[a:b], side[a:b], parity[a:b], before[a:b], apart[row], jaccard))
+        give_back()
 
     return run
 
@@ -324,6 +326,8 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         if last:
             break
         tested, turn = tested.unionByName(offered), turn + 1
-    roots = simhash.components(links)
-    ids = prints.select("doc_id", "text_hash", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "text_hash", F.coalesce("root", "cls").alias("root"))
-    return ids.join(ids.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "text_hash", "component_id", "root")
+    roots = durable(simhash.components(links))
+    ids = prints.select("doc_id", "text_hash", "cls").join(few(roots.withColumnRenamed("node", "cls")), "cls", "left")
+    ids = durable(ids.select("doc_id", "text_hash", F.coalesce("root", "cls").alias("root")))
+    named = durable(ids.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    return ids.join(few(named), "root").select("doc_id", "text_hash", "component_id", "root")

@@ -10,7 +10,6 @@ the whole chunk, which then joins its neighbour.
 
 from __future__ import annotations
 
-import functools
 import os
 
 import pyarrow as pa
@@ -18,22 +17,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkquarry.llm.common import append_columns
+from linkquarry.llm.common import append_columns, kept
 
 CHUNK = 16_384
 OVERLAP = 256
 
 
-@functools.lru_cache(maxsize=2)
 def load_tokenizer(path: str):
     """A tokenizer as its file describes it, one thread, without truncation or padding; read once in a process, not in each task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
+    def read():
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
+    return kept(("tokenizer", path), read)
 
 
 def default_vocabulary() -> str:
@@ -106,7 +107,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, te
 
         return compute
 
-    return append_columns(docs, text_col, schema, make)
+    return append_columns(docs, text_col, schema, make, keeps=True)
 
 
 def total_tokens(counted: DataFrame) -> DataFrame:
