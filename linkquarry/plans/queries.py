@@ -458,13 +458,22 @@ def select_records(spark, sf_dir):
 
 
 
+def _url_part(side: str) -> str:
+    """Origin in lower case, path, path without empty segments, query without a bare mark, fragment and all behind the path of a URL, in SQL."""
+    path = f"coalesce(nullif(regexp_extract({side}, '^[^/?#]*//[^/?#]*([^?#]*)', 1), ''), '/')"
+    return f"""lower(regexp_extract({side}, '^[^/?#]*//[^/?#]*')) AS {side}_origin, {path} AS {side}_path,
+regexp_replace({path}, '/+', '/', 'g') AS {side}_dense, regexp_extract({side}, '^[^?#]*[?]([^#]*)', 1) AS {side}_query,
+regexp_extract({side}, '#(.*)', 1) AS {side}_fragment, regexp_extract({side}, '^[^?#]*(.*)', 1) AS {side}_tail"""
+
+
 @query(
-    """SELECT ordinal, CASE WHEN actual IS NULL THEN NULL WHEN expected = actual THEN 'exact' WHEN expected || '/' = actual OR actual || '/' = expected THEN 'trailing-slash'
+    f"""SELECT ordinal, CASE WHEN actual IS NULL THEN NULL WHEN expected = actual THEN 'exact' WHEN expected || '/' = actual OR actual || '/' = expected THEN 'trailing-slash'
 WHEN expected IN (actual || '?', actual || '#') THEN 'bare-query-or-fragment'
 WHEN contains(expected, '?') AND NOT contains(expected, '#') AND expected || '=' = actual THEN 'valueless-parameter'
-WHEN regexp_replace(actual, '^HTTP', 'http') = expected AND page_kind <> 3 THEN 'other'
-WHEN regexp_extract(expected, '^[^?#]*') = regexp_extract(actual, '^[^?#]*') AND regexp_extract(expected, '#.*') = regexp_extract(actual, '#.*') THEN 'query-changed' ELSE 'other' END AS label
-FROM (SELECT *, ordinal % 9 AS page_kind FROM codec_results) t WHERE page_kind IN (0, 1, 4, 5, 6, 8)""",
+WHEN expected_origin <> actual_origin THEN 'other'
+WHEN expected_dense || expected_tail = actual_dense || actual_tail THEN 'path-slash-normalization'
+WHEN expected_path = actual_path AND expected_fragment = actual_fragment AND expected_query <> actual_query THEN 'query-changed' ELSE 'other' END AS label
+FROM (SELECT ordinal, expected, actual, {_url_part('expected')}, {_url_part('actual')} FROM codec_results) t""",
     "codec_results",
 )
 def classify_difference(spark, sf_dir):
@@ -561,7 +570,7 @@ def byte_size_parse(spark, sf_dir):
     return view(spark, sf_dir, "sizes").select("size_text", strings.byte_size(F.col("size_text")).alias("bytes"))
 
 
-@query(f"WITH {_CANDIDATES} SELECT url, CAST(coalesce(sum(strlen(url)) OVER (ORDER BY url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_byte FROM candidates WHERE hostname LIKE '%.example.com'", "web_urls")
+@query(f"WITH {_CANDIDATES} SELECT url, CAST(coalesce(sum(strlen(url)) OVER (ORDER BY url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_byte FROM candidates", "web_urls")
 def pack_offsets(spark, sf_dir):
     """Start byte of every record in the packs in their order, read back from their offsets."""
     rows = _candidates(spark, sf_dir).withColumn("split", F.lit(0))
