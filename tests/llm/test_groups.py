@@ -152,3 +152,17 @@ def test_vector_odd_rows(spark, n):
     base = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x"))
     got = ann.search(base, base.filter("vec_id = 0 or vec_id between 50 and 54")).orderBy("rank").toPandas()
     assert got.vec_id.tolist() == {0: [], 1: [], 4: [1, 2, 61, 3]}[n]
+
+
+def test_rows_of_a_hot_key_are_dealt_over_parts(spark):
+    """A third of the rows with one id, another third without any, in runs of 50 rows."""
+    rows = [(None if i % 3 == 1 else 7 if i % 3 else i, f"text {i % 40}") for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sharding.assign_shards(table, 4, run_rows=50).toPandas()
+    assert len(got) == 3000
+    for shard, own in got.groupby("shard"):
+        assert sorted(own.slot) == list(range(len(own)))
+    assert got[got.doc_id == 7].shard.nunique() == 1 and got[got.doc_id.isna()].shard.nunique() == 1
+    plain = sharding.assign_shards(table, 4).toPandas()
+    keys = ["doc_id", "text_crc32", "shard", "grown_shard"]
+    assert got[keys].sort_values(keys).values.tolist().__repr__() == plain[keys].sort_values(keys).values.tolist().__repr__()
