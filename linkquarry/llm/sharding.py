@@ -46,18 +46,19 @@ def stable_key(col) -> F.Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("bigint")
 
 
-def assign_shards(docs: DataFrame, shards: int = 16, text_col: str = "text", id_col: str = "doc_id", run_rows: int = RUN_ROWS) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 16, text_col: str = "text", id_col: str = "doc_id", run_rows: int | None = None) -> DataFrame:
     """One row for each document: id, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``grown_shard``.
 
     ``slot`` counts from 0 without gaps in each shard, in order of the key's hash, then of id, checksum and size
     (rows that are equal in all of these are interchangeable). A null text has size 1 and the checksum of the empty
     text; a null id is a key of its own. Slots are made by two levels of counting, so no task orders a whole shard:
     rows are numbered within runs of the hash's range, and each run begins where the runs before it end. A key that
-    alone has more than ``run_rows`` rows follows the others of its run, dealt over as many parts as it needs and
+    alone has more than ``run_rows`` rows (``RUN_ROWS`` unless given) follows the others of its run, dealt over as many parts as it needs and
     numbered part by part.
     """
     if shards < 1:
         raise ValueError("at least one shard")
+    run_rows = run_rows or RUN_ROWS
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), stable_key(id_col).alias("key__"))
     rows = rows.withColumn("both__", _jump_both("key__", F.lit(shards)))
