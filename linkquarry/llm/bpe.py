@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from linkquarry.llm.common import append_columns, kept, text_bytes
-from linkquarry.llm.tokens import default_vocabulary, load_tokenizer
+from linkquarry.llm.tokens import Coder, common_ground, default_vocabulary, spelt_bytes
 
 #: A border stands where this many low bits of the hash are zero: about every 2 KB.
 BORDER_BITS = 11
@@ -61,34 +61,25 @@ def piece_borders(data: np.ndarray, at: np.ndarray, bits: int = BORDER_BITS) ->
     return out
 
 
-def token_bytes(tokenizer) -> list[bytes]:
-    """The bytes of every id of a byte-level vocabulary, whose tokens spell each byte as one printable character."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    spelt = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(printable))}
-    names = [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
-    return [bytes(spelt[c] for c in name) if all(c in spelt for c in name) else name.encode("utf-8") for name in names]
-
-
 class ChunkEncoder:
     """Encodes texts by shared pieces; two generations of a bounded cache."""
 
     def __init__(self, path: str, bits: int = BORDER_BITS, cache_bytes: int = CACHE_BYTES):
-        self.tokenizer, self.bits, self.cache_bytes = load_tokenizer(path), bits, cache_bytes
-        self.spelling = token_bytes(self.tokenizer)
+        self.coder, self.bits, self.cache_bytes = Coder(path), bits, cache_bytes
+        self.spelling = spelt_bytes(self.coder.tokenizer)
         self.young: dict[bytes, tuple[np.ndarray, bytes]] = {}
         self.old: dict[bytes, tuple[np.ndarray, bytes]] = {}
         self.held = self.encoded = 0
 
-    def _encode(self, pieces: dict[bytes, tuple[np.ndarray, bytes] | None]) -> None:
-        """Fill in the ids and the decoded bytes of each piece."""
+    def _encode(self, pieces: dict[bytes, tuple[np.ndarray, bytes] | None], odd: set[bytes]) -> None:
+        """Fill in the ids and the decoded bytes of each piece; ``odd`` ones are not on common ground (see ``tokens``)."""
         missing = []
         for piece in pieces:
             if (hit := self.young.get(piece) or self.old.get(piece)) is None:
                 missing.append(piece)
             else:
                 pieces[piece] = hit
-        few = 8  # the library's encodings are large: hold those of a few pieces at a time
-        ids = (e.ids for k in range(0, len(missing), few) for e in self.tokenizer.encode_batch_fast([p.decode("utf-8") for p in missing[k : k + few]], add_special_tokens=False))
+        ids = self.coder.encode([p.decode("utf-8") for p in missing], [p not in odd for p in missing])
         for piece, own in zip(missing, ids, strict=True):
             decoded = b"".join(map(self.spelling.__getitem__, own))
             if decoded != piece:  # bytes that are no UTF-8 decode as the library has it
@@ -107,7 +98,9 @@ class ChunkEncoder:
         raw, borders = data.tobytes(), piece_borders(data, at, self.bits)
         cut = [[raw[a:b] for a, b in zip(x[:-1], x[1:], strict=True) if b > a] for x in borders]
         pieces: dict = dict.fromkeys(p for x in cut for p in x)
-        self._encode(pieces)
+        cuts = np.unique(np.concatenate([at, *borders]))
+        odd = np.flatnonzero(~common_ground(data, cuts))
+        self._encode(pieces, {raw[a:b] for a, b in zip(cuts[odd].tolist(), cuts[odd + 1].tolist(), strict=True)})
         none = np.zeros(0, "<u4")
         return [(np.concatenate([pieces[p][0] for p in x]) if x else none, b"".join(pieces[p][1] for p in x)) for x in cut]
 
