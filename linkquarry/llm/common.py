@@ -49,6 +49,11 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of finished shuffles: Spark deletes their files when the driver's JVM has collected what refers to them, which a large heap would put off."""
+    spark._jvm.System.gc()
+
+
 #: Rows of a few numbers up to which a join sends them to every task.
 FEW = 1 << 18
 

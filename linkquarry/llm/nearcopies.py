@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from linkquarry.llm import simhash
-from linkquarry.llm.common import append_columns, bound_batches, durable, few, give_back, hash_share, narrow
+from linkquarry.llm.common import append_columns, bound_batches, durable, few, give_back, hash_share, narrow, release
 
 WORDS = 5
 JACCARD = 0.8
@@ -312,6 +312,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     links = _verified(tested, own, classes, words, jaccard)
     meetings, enough, turn = _meetings(prints, classes), max(50_000, classes.count()), 0
     while True:
+        release(docs.sparkSession)
         blocks = _open_blocks(meetings, simhash.components(links), block)
         blocks = durable(blocks) if turn else blocks
         last = turn >= rounds or (turn > 0 and _count_pairs(blocks, jaccard) <= enough)
@@ -325,9 +326,11 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         links = links.unionByName(_verified(offered, own, classes, words, jaccard))
         if last:
             break
-        tested, turn = tested.unionByName(offered), turn + 1
+        tested, turn, blocks = tested.unionByName(offered), turn + 1, None
     roots = durable(simhash.components(links))
     ids = prints.select("doc_id", "text_hash", "cls").join(few(roots.withColumnRenamed("node", "cls")), "cls", "left")
     ids = durable(ids.select("doc_id", "text_hash", F.coalesce("root", "cls").alias("root")))
+    del blocks, offered, meetings
+    release(docs.sparkSession)
     named = durable(ids.groupBy("root").agg(F.min("doc_id").alias("component_id")))
     return ids.join(few(named), "root").select("doc_id", "text_hash", "component_id", "root")
