@@ -6,11 +6,13 @@ vantage fingerprint. A fingerprint is at home in one shard, and is sent as a que
 region the triangle bound can't exclude; of two near fingerprints whose homes part at a node, the one inside the
 radius crosses over, so each pair meets exactly once. Shards search themselves by smaller trees of the same kind and
 compare bits in their leaves. They return a spanning forest of their links, not all pairs, and components are
-joined by alternating star contractions on the shared store, never on the driver.
+joined by alternating star contractions on the shared store, never on the driver. Where the driver's sample is too
+small for shards of bounded size, each large shard is dealt on by a tree of its own, fitted on a sample of that shard.
 """
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,9 +28,17 @@ from linkquarry.llm.common import append_columns, durable, few, hash_share, narr
 
 WORDS = 3
 RADIUS = 2
-#: Distinct fingerprints that a shard is meant to hold, and those of the sample that fits the tree.
+#: Distinct fingerprints that a shard is meant to hold: at least, at most, and the shards that are enough between.
 SHARD = 1024
+LARGE_SHARD = 1 << 16
+SHARDS = 4096
+#: Fingerprints of the sample that fits the first tree, and of that of a shard which is dealt on.
 SAMPLE = 100_000
+OWN_SAMPLE = 4096
+#: Sampled fingerprints that a node needs to be split.
+SPLIT = 16
+#: Rows of a large shard that are dealt on in one task.
+PART = 1 << 18
 LEAF = 256
 
 
@@ -112,7 +122,7 @@ def fit_tree(sample: np.ndarray, weight: float, shard: int = SHARD, seed: int =
 
     def grow(points: np.ndarray) -> int:
         at = tree.node()
-        split = _split(points, rng) if len(points) * weight > shard and len(points) >= 16 else None
+        split = _split(points, rng) if len(points) * weight > shard and len(points) >= SPLIT else None
         if split is None:
             tree.shard[at] = tree.shards
             tree.shards += 1
@@ -126,10 +136,10 @@ def fit_tree(sample: np.ndarray, weight: float, shard: int = SHARD, seed: int =
     return tree
 
 
-def route(tree: Tree, points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shard, index of the point, and whether it is at home there."""
+def route(tree: Tree, points: np.ndarray, at_home: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shard, index of the point, and whether it is at home there; ``at_home`` tells which points are at home under the tree, the others are queries."""
     out: list[tuple[int, np.ndarray, bool]] = []
-    stack = [(0, np.arange(len(points)), np.zeros(0, np.int64))]
+    stack = [(0, np.flatnonzero(at_home), np.flatnonzero(~at_home))]
     while stack:
         at, home, query = stack.pop()
         if not len(home) and not len(query):
@@ -185,17 +195,68 @@ def forest(home: np.ndarray, query: np.ndarray, radius: int = RADIUS, leaf: int
     return np.stack([points[joined], points[label[joined]]], axis=1)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
-    """Edges (a, b) over a column ``fp`` of distinct fingerprints whose components are those of all pairs within the radius."""
+def _dealt_on(dealt: DataFrame, level: int, radius: int, shard: int) -> DataFrame | None:
+    """dealt (shard, fp, home) with every shard of over twice the size dealt on by a tree of its own; None if no shard is so large and can be parted.
+
+    The points of a shard come to several tasks, each of which reads the shard's tree first and then streams the points.
+    """
+    sizes = dealt.groupBy("shard").agg(F.count_if("home").alias("n"), F.ceil(F.count("*") / PART).alias("parts"))
+    large = durable(sizes.filter(F.col("n") > 2 * shard))
+    drawn = dealt.filter("home").join(few(large), "shard").filter(hash_share("fp", F.lit(f"vp{level}")) < OWN_SAMPLE / F.col("n"))
+
+    def fit(found: pa.Table) -> pa.Table:
+        points = np.sort(found.column("fp").to_numpy().view(np.uint64))
+        tree = fit_tree(points, found.column("n")[0].as_py() / len(points), shard)
+        return found.select(["shard", "parts"]).slice(0, int(tree.shards > 1)).append_column("tree", pa.array([pickle.dumps(tree)][: int(tree.shards > 1)], pa.binary()))
+
+    trees = durable(drawn.select("shard", "n", "parts", "fp").groupBy("shard").applyInArrow(fit, "shard long, parts long, tree binary"))
+    if trees.isEmpty():
+        return None
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, own = None, None
+        for batch in batches:
+            shards, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            points, home = batch.column(2).to_numpy().view(np.uint64), batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            ends = [0, *(np.flatnonzero((shards[1:] != shards[:-1]) | (parts[1:] != parts[:-1])) + 1).tolist(), len(shards)]
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                if a < b and batch.column(4)[a].is_valid:
+                    tree, own, a = pickle.loads(batch.column(4)[a].as_py()), (shards[a], parts[a]), a + 1
+                if a == b:
+                    continue
+                if own != (shards[a], parts[a]):
+                    raise ValueError("points without the tree of their shard")
+                s, i, h = route(tree, points[a:b], home[a:b], radius)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), shards[a])), pa.array(s), pa.array(points[a:b][i].view(np.int64)), pa.array(h)], names=["shard", "sub", "fp", "home"])
+
+    first = trees.select("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(0).cast("bigint").alias("fp"), F.lit(False).alias("home"), "tree")
+    known = few(trees.select("shard", "parts"))
+    rows = dealt.join(known, "shard").select("shard", F.pmod(F.xxhash64("fp"), "parts").alias("part"), "fp", "home", F.lit(None).cast("binary").alias("tree"))
+    sent = first.unionByName(rows).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("tree").isNull())
+    moved = sent.mapInArrow(deal, "shard long, sub long, fp long, home boolean")
+    # Should two names meet, the shards are searched as one, which loses and adds nothing.
+    moved = moved.select(F.xxhash64("shard", "sub", F.lit(level)).alias("shard"), "fp", "home")
+    return durable(dealt.join(known, "shard", "left_anti").unionByName(moved))
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, shard: int | None = None, sample: int = SAMPLE) -> DataFrame:
+    """Edges (a, b) over a column ``fp`` of distinct fingerprints whose components are those of all pairs within the radius.
+
+    ``shard`` is the number of fingerprints meant to be at home in one shard, by default a 4096th of all between 1,024
+    and 65,536: the smaller the shards, the more fingerprints cross over. Only fingerprints that no vantage point
+    parts make a larger one.
+    """
     total = distinct.count()
+    shard = shard or min(LARGE_SHARD, max(SHARD, total // SHARDS))
     share = min(1.0, sample / max(1, total))
     drawn = np.array([r[0] for r in distinct.filter(hash_share("fp", F.lit("vp")) < share).select("fp").orderBy("fp").collect()], dtype=np.int64).view(np.uint64)
-    tree = fit_tree(drawn, total / max(1, len(drawn)), shard)
+    weight = total / max(1, len(drawn))
+    tree = fit_tree(drawn, weight, shard)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = batch.column(0).to_numpy().view(np.uint64)
-            s, i, h = route(tree, points, radius)
+            s, i, h = route(tree, points, np.ones(len(points), bool), radius)
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(points[i].view(np.int64)), pa.array(h)], names=["shard", "fp", "home"])
 
     def search(found: pa.Table) -> pa.Table:
@@ -203,7 +264,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, shard: int = SHARD, sample:
         pairs = forest(points[home], points[~home], radius)
         return pa.table({"a": pairs[:, 0].copy().view(np.int64), "b": pairs[:, 1].copy().view(np.int64)})
 
-    return distinct.select("fp").mapInArrow(deal, "shard long, fp long, home boolean").groupBy("shard").applyInArrow(search, "a long, b long")
+    dealt = distinct.select("fp").mapInArrow(deal, "shard long, fp long, home boolean")
+    if SPLIT * weight > shard:  # the sample, not the size of a shard, may have ended the tree
+        dealt, level = durable(dealt), 1
+        while (deeper := _dealt_on(dealt, level, radius, shard)) is not None:
+            dealt, level = deeper, level + 1
+    return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -238,7 +304,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = WORDS, radius: int = RADIUS, shard: int | None = None) -> DataFrame:
     """One row for each document: id, ``text_hash``, ``fp`` (signed), ``fingerprint`` (16 hexadecimal digits), ``component_id`` and ``root``.
 
     ``component_id`` is the smallest id reachable over links, the document's own included; null only where a whole

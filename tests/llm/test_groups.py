@@ -52,7 +52,7 @@ def test_fingerprints_and_groups(spark, sf):
     assert got.component_id.tolist() == brute_components(text.index.tolist(), want)
 
 
-def test_tree_loses_no_pair(spark):
+def test_tree_loses_no_pair(spark, monkeypatch):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(1500)]
     near = []
@@ -67,12 +67,16 @@ def test_tree_loses_no_pair(spark):
     prints = sorted({*base, *near})
     want = brute_components(prints, prints)
     df = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp long").repartition(4)
-    for shard in (64, 100_000):
-        roots = simhash.components(simhash.links(df, shard=shard)).toPandas()
+    levels, dealt_on = [], simhash._dealt_on
+    monkeypatch.setattr(simhash, "PART", 500)
+    for shard, sample in ((64, 100_000), (100_000, 100_000), (64, 100), (8, 30)):  # small samples: shards are dealt on, once or several times
+        monkeypatch.setattr(simhash, "_dealt_on", lambda dealt, level, *how: levels.append((shard, level)) or dealt_on(dealt, level, *how))
+        roots = simhash.components(simhash.links(df, shard=shard, sample=sample)).toPandas()
         group = {int(np.int64(n).astype(np.uint64)): r for n, r in zip(roots.node, roots.root, strict=True)}
         got = [group.get(p, ("alone", p)) for p in prints]
         first_got, first_want = {}, {}
         assert [first_got.setdefault(g, i) for i, g in enumerate(got)] == [first_want.setdefault(g, i) for i, g in enumerate(want)]
+    assert max(k for s, k in levels if s == 64) >= 2 and (8, 2) in levels and (100_000, 1) not in levels
 
 
 def test_long_chain_of_links(spark):
