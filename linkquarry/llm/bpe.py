@@ -110,8 +110,8 @@ def encoder(path: str, bits: int, cache_bytes: int) -> ChunkEncoder:
     return kept(("encoder", path, bits, cache_bytes), lambda: ChunkEncoder(path, bits, cache_bytes))
 
 
-def encode_decode(docs: DataFrame, path: str | None = None, text_col: str = "text", with_ids: bool = False, bits: int = BORDER_BITS, cache_bytes: int = CACHE_BYTES) -> DataFrame:
-    """docs with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, ``with_ids``, ``ids`` and ``decoded``.
+def encode_decode(docs: DataFrame, path: str | None = None, text_col: str = "text", with_ids: bool = False, with_decoded: bool = False, bits: int = BORDER_BITS, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """docs with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, where asked for, ``ids`` and ``decoded``.
 
     ``ids_sha256`` digests the ids as little-endian unsigned 32-bit integers, ``decoded_sha256`` the decoded text in
     UTF-8. A null or empty text has no ids and decodes to the empty text. No special tokens are added.
@@ -119,7 +119,9 @@ def encode_decode(docs: DataFrame, path: str | None = None, text_col: str = "tex
     path = path or default_vocabulary()
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
-        fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+        fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    if with_decoded:
+        fields += [T.StructField("decoded", T.StringType())]
 
     def make():
         own = encoder(path, bits, cache_bytes)
@@ -130,7 +132,9 @@ def encode_decode(docs: DataFrame, path: str | None = None, text_col: str = "tex
             if with_ids:
                 at = np.cumsum([0, *(len(i) for i, _ in done)], dtype=np.int32)
                 flat = np.concatenate([i for i, _ in done]).astype(np.int32) if done else np.zeros(0, np.int32)
-                out += [pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), [d.decode("utf-8", "replace") for _, d in done]]
+                out += [pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
+            if with_decoded:
+                out += [[d.decode("utf-8", "replace") for _, d in done]]
             return out
 
         return compute

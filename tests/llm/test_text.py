@@ -101,7 +101,7 @@ def test_token_queries(spark, sf, library):
 def test_token_odd_rows(odd, none, library):
     got = tokens.count_tokens(odd, chunk=1000).toPandas()
     assert [len(library.encode(t or "", add_special_tokens=False)) for t in got.text] == got.n_tokens.tolist()
-    got = bpe.encode_decode(odd, with_ids=True).toPandas()
+    got = bpe.encode_decode(odd, with_ids=True, with_decoded=True).toPandas()
     assert [library.encode(t or "", add_special_tokens=False).ids for t in got.text] == [list(x) for x in got.ids]
     assert (got.decoded == got.text.fillna("")).all()
     assert tokens.count_tokens(none).count() == bpe.encode_decode(none).count() == 0
