@@ -28,7 +28,7 @@ from linkquarry.llm.tokens import Coder, common_ground, default_vocabulary, spel
 #: A border stands where this many low bits of the hash are zero: about every 2 KB.
 BORDER_BITS = 11
 #: Bytes of text whose ids a worker keeps (in each of two generations).
-CACHE_BYTES = 12 << 20
+CACHE_BYTES = 4 << 20
 
 _WORDY = np.zeros(256, bool)
 _WORDY[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.,;"]] = True
